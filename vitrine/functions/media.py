@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,11 +55,16 @@ def image_size(b: bytes | None):
     return None
 
 
-@F.pandas_udf("width int, height int")
-def header_size(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in contents:
-        sizes = [image_size(b) or (None, None) for b in batch]
-        yield pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
+def header_size(content: Column) -> Column:
+    """(width, height) struct."""
+
+    @F.pandas_udf("width int, height int")
+    def sizes(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in contents:
+            found = [image_size(b) or (None, None) for b in batch]
+            yield pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+
+    return sizes(content)
 
 
 def content_facts(df: DataFrame, content: str = "content") -> DataFrame:

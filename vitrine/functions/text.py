@@ -102,11 +102,15 @@ def find_loop(text: str | None) -> tuple[bool, str | None, int]:
     return False, None, 0
 
 
-@F.pandas_udf("is_loop boolean, phrase string, times int")
-def repetition(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def repetition(text: Column) -> Column:
     """Loop check on Arrow batches of whole texts."""
-    for batch in texts:
-        yield pd.DataFrame([find_loop(t) for t in batch], columns=["is_loop", "phrase", "times"])
+
+    @F.pandas_udf("is_loop boolean, phrase string, times int")
+    def check(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([find_loop(t) for t in batch], columns=["is_loop", "phrase", "times"])
+
+    return check(text)
 
 
 def repetition_filter(df: DataFrame, text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ def extract_features(
                     got = extract(part)
                     yield pd.DataFrame({key: part[key].to_numpy(), **{n: list(got[n]) for n in names}, "error": None})
                 except Exception as e:  # user code may fail in any way
-                    log.warning("a batch of %d rows failed: %s", len(part), e)
+                    log.info("a batch of %d rows failed: %s", len(part), e)
                     yield pd.DataFrame({key: part[key].to_numpy(), **{n: None for n in names}, "error": str(e)})
 
     types = ", ".join(f"`{n}` {t}" for n, t in outputs.items())

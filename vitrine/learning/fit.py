@@ -24,6 +24,8 @@ from vitrine.operators.metrics import auc_and_ap, precision_at_positives, weight
 
 # Regularisation strengths tried by the search.
 C_GRID = (0.01, 0.1, 1.0, 10.0)
+# Stop a fit when the loss moves less than this share.
+TOL = 1e-4
 
 
 def moments(df: DataFrame, vec: str = "vec") -> tuple[int, np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ def fit_elkan_noto(train: DataFrame, name="elkan_noto", feature="", C: float = 1
     """
     rows, n, mean, std = _ready(train, scale)
     held = (F.col("y") == 1) & (_fold(10, seed) == 0)
-    lr = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (C * n), standardization=False, maxIter=200)
+    lr = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (C * n), standardization=False, maxIter=200, tol=TOL)
     model = lr.fit(rows.where(~held))
     w, b = unscaled(model.coefficients.toArray(), model.intercept, mean, std)
     plain = LinearScorer(name, feature, "elkan_noto", [Member(w, b)])
@@ -83,7 +85,7 @@ def fit_biased_svm(
         inside, outside = rows.where(F.col("_f") != f), rows.where(F.col("_f") == f)
         weight = inside.agg(F.sum("w")).first()[0]
         svm = LinearSVC(
-            featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (C * weight), standardization=False, maxIter=100
+            featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (C * weight), standardization=False, maxIter=100, tol=TOL
         ).fit(inside)
         w, b = unscaled(svm.coefficients.toArray(), svm.intercept, mean, std)
         margin = LinearScorer("", "", "", [Member(w, b)]).margin(F.col("vec"))
@@ -92,7 +94,7 @@ def fit_biased_svm(
             F.when(F.col("y") == 1, 1.0).otherwise(float(pi)).alias("w"),
             array_to_vector(F.array(margin)).alias("x"),
         )
-        platt = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", standardization=False).fit(held)
+        platt = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", standardization=False, tol=TOL).fit(held)
         members.append(Member(w, b, float(platt.coefficients[0]), float(platt.intercept)))
     rows.unpersist()
     return LinearScorer(name, feature, "biased_svm", members)
@@ -169,10 +171,10 @@ def fit_multiclass(train: DataFrame, kind: str, classes: int = 3, seed: int = 42
     if kind == "tree":
         return DecisionTreeClassifier(maxDepth=10, seed=seed, **cols).fit(rows)
     if kind == "linear_svc":
-        return OneVsRest(classifier=LinearSVC(**cols), **cols).fit(rows)
+        return OneVsRest(classifier=LinearSVC(tol=TOL, maxIter=50, **cols), **cols).fit(rows)
     if kind == "mlp":
         width = train.select(F.size("vec")).first()[0]
-        return MultilayerPerceptronClassifier(layers=[width, 64, classes], seed=seed, maxIter=50, **cols).fit(rows)
+        return MultilayerPerceptronClassifier(layers=[width, 64, classes], seed=seed, maxIter=50, tol=TOL, **cols).fit(rows)
     raise ValueError(f"unknown kind: {kind}")
 
 

@@ -29,7 +29,8 @@ def mean_gradients(df: DataFrame, model: LinearScorer, n: int = 2000, seed: int
     means = picked.agg(*[s.alias(f"s{i}") for i, s in enumerate(slopes)])
     gradient = F.lit([0.0] * len(model.members[0].weights))
     for i, m in enumerate(model.members):
-        gradient = F.zip_with(gradient, F.transform(F.lit(m.weights), lambda w, i=i: w * F.col(f"s{i}")), lambda a, b: a + b)
+        slope = F.col(f"s{i}")
+        gradient = F.zip_with(gradient, F.lit(m.weights), lambda g, w: g + w * slope)
     return means.select(F.lit(model.name).alias("model"), F.posexplode(gradient).alias("idx", "coef"))
 
 

@@ -133,7 +133,8 @@ def axis_vectors(df: DataFrame, indices: dict[str, list[int]], vec: str = "vec")
 
 def group_tags_by_type(df: DataFrame, column: str = "tags") -> DataFrame:
     """Split an array of {type, name} into one array per type code."""
-    return df.withColumns({n: F.filter(column, lambda t, c=code: t["type"] == c) for n, code in V.TAG_TYPE_CODES.items()})
+    has = lambda code: lambda tag: tag["type"] == code
+    return df.withColumns({n: F.filter(column, has(code)) for n, code in V.TAG_TYPE_CODES.items()})
 
 
 def active_flags(struct: str, flags: list[str], ordinal: str | None = None, names: tuple[str, str] | None = None) -> Column:

@@ -41,7 +41,9 @@ def similar_items(
     query = mine.agg(F.first("vec")).scalar()
     scale = F.col("norm") * mine.agg(F.first("norm")).scalar()
     rows = candidates(points, axis, status, date, type).where(F.col("item_id") != item_id)
-    exact = rows.select("item_id", F.round(dot(F.col("vec"), query) / F.nullif(scale, F.lit(0.0)), DIGITS).alias("_s"))
+    rows = rows.select("item_id", "vec", query.alias("_q"), scale.alias("_scale"))
+    cosine = dot(F.col("vec"), F.col("_q")) / F.nullif("_scale", F.lit(0.0))
+    exact = rows.select("item_id", F.round(cosine, DIGITS).alias("_s"))
     best = top_rows(exact.where("_s IS NOT NULL"), [F.desc("_s"), F.asc("item_id")], k)
     ranked = top_per_group(best, [], [F.desc("_s"), F.asc("item_id")], k)
     return ranked.select("item_id", F.round("_s", 6).alias("similarity"), "rank")
@@ -82,11 +84,13 @@ def similar_items_all(
     a task are bounded whatever the data holds, and the pair matrix never leaves the task.
     """
     live = F.col("norm") > 0
-    found = candidates(points, axis, **filters).where(live).select("item_id", "vec")
+    found = candidates(points, axis, **filters).where(live).select(
+        F.col("item_id").alias("item_id"), F.col("vec").alias("vec")
+    )
     asked = (
         points.where((F.col("axis") == axis) & live)
         .join(queries.select("item_id"), "item_id", "left_semi")
-        .select(F.col("item_id").alias("query_id"), "vec")
+        .select(F.col("item_id").alias("query_id"), F.col("vec").alias("vec"))
     )
     parts = lambda df: max(1, math.ceil(df.count() / block))
     n_q, n_c = parts(asked), parts(found)

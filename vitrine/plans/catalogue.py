@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_sources", "q_rows", "q_ranking"]
+MODULES = ["q_sources", "q_rows", "q_ranking", "q_nested", "q_learning", "q_streams"]
 
 
 def registries():
