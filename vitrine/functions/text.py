@@ -55,24 +55,25 @@ def clean_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, r"\n{2,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def _runs(same: np.ndarray) -> np.ndarray:
-    """For each position, how many consecutive True values start there."""
-    stops = np.flatnonzero(~same)
-    where = np.searchsorted(stops, np.arange(len(same)))
-    return np.append(stops, len(same))[where] - np.arange(len(same))
-
-
 def _first_repeat(codes: np.ndarray, size: int, repeats: int, allowed: np.ndarray | None = None):
     """(start, times) of the first block of `size` symbols repeated often enough, or None."""
     starts = len(codes) - size * V.PHRASE_REPEATS
     if starts <= 0:
         return None
-    times = 1 + _runs(codes[:-size] == codes[size:])[:starts] // size
-    hits = times >= repeats
+    # a block at i repeats r times if positions i.. equal their successor one block on, (r - 1) * size in a row
+    equal, need = np.flatnonzero(codes[:-size] == codes[size:]), (repeats - 1) * size
+    if len(equal) < need:
+        return None
+    at = np.flatnonzero(equal[need - 1 :] - equal[: len(equal) - need + 1] == need - 1)
+    at = at[equal[at] < starts]
     if allowed is not None:
-        hits &= allowed[:starts]
-    found = np.flatnonzero(hits)
-    return (found[0], int(times[found[0]])) if len(found) else None
+        at = at[allowed[equal[at]]]
+    if not len(at):
+        return None
+    rest = equal[at[0] :]
+    gaps = np.flatnonzero(np.diff(rest) != 1)
+    run = gaps[0] + 1 if len(gaps) else len(rest)
+    return rest[0], int(1 + run // size)
 
 
 def find_loop(text: str | None) -> tuple[bool, str | None, int]:

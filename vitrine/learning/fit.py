@@ -94,7 +94,7 @@ def fit_biased_svm(
             F.when(F.col("y") == 1, 1.0).otherwise(float(pi)).alias("w"),
             array_to_vector(F.array(margin)).alias("x"),
         )
-        platt = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", standardization=False, tol=TOL).fit(held)
+        platt = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", tol=TOL).fit(held)
         members.append(Member(w, b, float(platt.coefficients[0]), float(platt.intercept)))
     rows.unpersist()
     return LinearScorer(name, feature, "biased_svm", members)

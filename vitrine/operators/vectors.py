@@ -18,10 +18,14 @@ from vitrine.operators.scale import top_per_group, top_rows
 DIGITS = 9
 
 
-def candidates(points: DataFrame, axis: str, status: str | None = V.INFERRED, date=None, type=None) -> DataFrame:
-    """Points of one axis that may be returned; `status` may list several, comma separated."""
+def check_axis(axis: str) -> None:
     if axis not in V.SIMILARITY_AXES:
         raise ValueError(f"axis must be one of {V.SIMILARITY_AXES}")
+
+
+def candidates(points: DataFrame, axis: str, status: str | None = V.INFERRED, date=None, type=None) -> DataFrame:
+    """Points of one axis that may be returned; `status` may list several, comma separated."""
+    check_axis(axis)
     rows = points.where(F.col("axis") == axis)
     wanted = [s.strip() for s in (status or "").split(",") if s.strip()]
     if wanted:
@@ -37,6 +41,7 @@ def similar_items(
     """item_id, similarity, rank of the k points nearest to one item; one scan, one top-k."""
     if not 1 <= k <= V.SIMILAR_MAX:
         raise ValueError(f"k must be 1 to {V.SIMILAR_MAX}")
+    check_axis(axis)
     mine = points.where((F.col("axis") == axis) & (F.col("item_id") == item_id))
     query = mine.agg(F.first("vec")).scalar()
     scale = F.col("norm") * mine.agg(F.first("norm")).scalar()
