@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from vitrine.operators.scale import drop_stored
 from vitrine.plans import catalogue
 
 HEADLINE = [
@@ -38,6 +39,7 @@ def main() -> None:
         run[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     total = round(sum(seconds.values()), 3)
+    drop_stored(spark)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(folder)}))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.functions.vectors import linear_maps
 from vitrine.functions.udfs import byte_histogram, extract_features
 from vitrine.learning import datasets, fit, models
 from vitrine.learning.nnpu import fit_nnpu
@@ -143,9 +144,11 @@ def test_vector_table_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01", "a", "inferred", [3.0, 4.0]), (2, "2024-01-02", "a", "inferred", [0.0, 1.0])], "item_id int, date string, type string, status string, vec array<float>")
     path = str(tmp_path / "points")
     sinks.upsert_vectors(df, {"eva02": "vec"}, path)
-    sinks.upsert_vectors(df.where("item_id = 1").withColumn("status", F.lit("pending")), {"eva02": "vec"}, path)
-    got = {r["item_id"]: (r["status"], r["norm"]) for r in spark.read.parquet(path).collect()}
-    assert got == {1: ("pending", 5.0), 2: ("inferred", 1.0)}
+    more = df.where("item_id = 1").withColumn("item_id", F.lit(3).cast("int")).unionByName(df.where("item_id = 1").withColumn("status", F.lit("pending")))
+    sinks.upsert_vectors(more, {"eva02": "vec"}, path)
+    sinks.upsert_vectors(more.where("item_id = 3"), {"eva02": "vec"}, path)
+    rows = spark.read.parquet(path).collect()
+    assert sorted((r["item_id"], r["status"], r["norm"]) for r in rows) == [(1, "pending", 5.0), (2, "inferred", 1.0), (3, "inferred", 5.0)]
 
 
 def test_similar_blocks_equal_one_block(spark):
@@ -162,6 +165,18 @@ def test_similar_blocks_equal_one_block(spark):
     assert sorted(map(str, one)) == sorted(map(str, small.where("query_id = 200").select("item_id", "similarity", "rank").collect()))
 
 
+def test_linear_maps_with_nulls(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 1.0])], "item_id int, vec array<float>").coalesce(1)
+    got = {r[0]: r[1] for r in df.select("item_id", linear_maps(F.col("vec"), [[1.0, 1.0], [2.0, 0.0]], [0.0, 5.0])).collect()}
+    assert got == {1: [3.0, 7.0], 2: None, 3: [1.0, 5.0]}
+
+
+def test_similar_to_an_unknown_item(spark):
+    points = spark.createDataFrame([(1, "eva02", [1.0], 1.0, "inferred", "d", "t")], "item_id long, axis string, vec array<float>, norm double, status string, date string, type string")
+    assert vectors.similar_items(points, 5).columns == ["item_id", "similarity", "rank"]
+    assert vectors.similar_items(points, 5).count() == 0
+
+
 def test_unknown_axis(spark):
     with pytest.raises(ValueError):
         vectors.similar_items(spark.range(1), 1, axis="other")

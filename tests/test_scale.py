@@ -14,9 +14,14 @@ def skewed(spark, n=3000):
     return spark.range(n).select("id", group.alias("g"), (F.col("id") * 37 % 101).alias("v"), (F.col("id") % 5 + 0.5).alias("w"))
 
 
-def test_number_rows_equals_window(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_number_rows_equals_window(spark, coalesce):
     df = skewed(spark)
-    got = scale.number_rows(df, ["g"], [F.desc("v"), F.asc("id")], "r", "n", ["w"]).toPandas()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        got = scale.number_rows(df, ["g"], [F.desc("v"), F.asc("id")], "r", "n", ["w"]).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     w = Window.partitionBy("g").orderBy(F.desc("v"), "id")
     want = df.select(
         "*",
@@ -32,7 +37,11 @@ def test_number_rows_equals_window(spark):
 def test_number_rows_spreads_a_hot_group(spark):
     """One group in all rows still makes several tasks of similar size."""
     df = skewed(spark).withColumn("g", F.lit("one"))
-    ranked = scale.number_rows(df, ["g"], [F.asc("v"), F.asc("id")], "r")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = scale.number_rows(df, ["g"], [F.asc("v"), F.asc("id")], "r")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 1 and max(sizes) < 0.6 * df.count()
 
@@ -87,3 +96,9 @@ def test_broadcast_is_checked(spark, monkeypatch):
     assert "broadcast" not in plan(scale.broadcast_if_small(spark.range(4)))
     got = scale.number_rows(skewed(spark), ["g"], [F.asc("v"), F.asc("id")], "r", "n")
     assert got.agg(F.max("r")).first()[0] == 2000
+
+
+def test_stored_tables_can_be_dropped(spark):
+    scale.drop_stored(spark)
+    scale.stored(spark.range(3))
+    assert scale.drop_stored(spark) == 1 and scale.drop_stored(spark) == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,24 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Null where a vector is zero."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+def linear_maps(vec: Column, weights, bias=0.0) -> Column:
+    """array<double> of weights @ vec + bias for fixed weight rows; null for a null vector.
+
+    Array lambdas are interpreted element by element in Spark, so products with known weights
+    go through Arrow: one matrix product per batch, all weight rows at once.
+    """
+    w = np.atleast_2d(np.asarray(weights, dtype=float)).T
+    b = np.broadcast_to(np.asarray(bias, dtype=float), (w.shape[1],))
+
+    @F.arrow_udf("array<double>")
+    def product(v: pa.Array) -> pa.Array:
+        valid = np.asarray(v.is_valid())
+        x = v.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, w.shape[0])
+        out = x @ w + b
+        lists = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * w.shape[1], out.ravel())
+        return lists.take(pa.array(np.cumsum(valid) - 1, mask=~valid)) if v.null_count else lists
+
+    return product(vec)
 
 
 def take_indices(vec: Column, indices: list[int]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.classification import (
@@ -53,6 +54,12 @@ def _ready(train: DataFrame, scale: bool):
     return rows, n, mean, std
 
 
+def side_by_side(jobs: list, width: int = 4) -> list:
+    """Results of independent fits, submitted to Spark together as its own tuning classes do."""
+    with ThreadPoolExecutor(width) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def _fold(n: int, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), "item_id"), F.lit(n))
 
@@ -80,8 +87,8 @@ def fit_biased_svm(
     """Linear SVM with unlabeled rows weighted by the prior; Platt-scaled out of fold, folds averaged."""
     rows, n, mean, std = _ready(train.withColumn("y", F.col("y").cast("double")), scale)
     rows = rows.withColumn("w", F.when(F.col("y") == 1, 1.0).otherwise(float(pi))).withColumn("_f", _fold(folds, seed))
-    members = []
-    for f in range(folds):
+
+    def fold(f: int) -> Member:
         inside, outside = rows.where(F.col("_f") != f), rows.where(F.col("_f") == f)
         weight = inside.agg(F.sum("w")).first()[0]
         svm = LinearSVC(
@@ -95,7 +102,9 @@ def fit_biased_svm(
             array_to_vector(F.array(margin)).alias("x"),
         )
         platt = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", tol=TOL).fit(held)
-        members.append(Member(w, b, float(platt.coefficients[0]), float(platt.intercept)))
+        return Member(w, b, float(platt.coefficients[0]), float(platt.intercept))
+
+    members = side_by_side([lambda f=f: fold(f) for f in range(folds)])
     rows.unpersist()
     return LinearScorer(name, feature, "biased_svm", members)
 
@@ -107,13 +116,12 @@ def _auc(model: LinearScorer, rows: DataFrame) -> float:
 
 def grid_search(method: str, train: DataFrame, validation: DataFrame, pi: float, grid=C_GRID, **names):
     """(best C, its AUC, its model); the first of equal values wins."""
-    best = None
-    for C in grid:
+
+    def attempt(C: float):
         model = fit_elkan_noto(train, C=C, **names) if method == "elkan_noto" else fit_biased_svm(train, pi, C=C, **names)
-        auc = _auc(model, validation)
-        if best is None or auc > best[1]:
-            best = (C, auc, model)
-    return best
+        return C, _auc(model, validation), model
+
+    return max(side_by_side([lambda C=C: attempt(C) for C in grid]), key=lambda found: found[1])
 
 
 def evaluate_model(model: LinearScorer, rows: DataFrame) -> DataFrame:
@@ -171,7 +179,7 @@ def fit_multiclass(train: DataFrame, kind: str, classes: int = 3, seed: int = 42
     if kind == "tree":
         return DecisionTreeClassifier(maxDepth=10, seed=seed, **cols).fit(rows)
     if kind == "linear_svc":
-        return OneVsRest(classifier=LinearSVC(tol=TOL, maxIter=50, **cols), **cols).fit(rows)
+        return OneVsRest(classifier=LinearSVC(tol=TOL, maxIter=50, **cols), parallelism=classes, **cols).fit(rows)
     if kind == "mlp":
         width = train.select(F.size("vec")).first()[0]
         return MultilayerPerceptronClassifier(layers=[width, 64, classes], seed=seed, maxIter=50, tol=TOL, **cols).fit(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.vectors import dot
+from vitrine.functions.vectors import linear_maps
 from vitrine.learning.models import LinearScorer
 from vitrine.operators.scale import broadcast_if_small, seeded_order, top_per_group, top_rows
 
@@ -24,7 +24,7 @@ def mean_gradients(df: DataFrame, model: LinearScorer, n: int = 2000, seed: int
     picked = top_rows(df.withColumn("_h", seeded_order(seed)), [F.asc("_h"), F.asc("item_id")], n)
     slopes = []
     for m in model.members:
-        s = 1.0 / (1.0 + F.exp(-(m.slope * (dot(F.col(vec), F.lit(m.weights)) + m.bias) + m.shift)))
+        s = 1.0 / (1.0 + F.exp(-(m.slope * linear_maps(F.col(vec), m.weights, m.bias)[0] + m.shift)))
         slopes.append(F.avg(s * (1 - s) * m.slope / (len(model.members) * model.divisor)))
     means = picked.agg(*[s.alias(f"s{i}") for i, s in enumerate(slopes)])
     gradient = F.lit([0.0] * len(model.members[0].weights))
@@ -45,12 +45,17 @@ def feature_importance(coefs: DataFrame, vocabulary: DataFrame, k: int) -> DataF
 def tag_contributions(items: DataFrame, coefs: DataFrame, k: int, vec: str = "vec") -> DataFrame:
     """item_id, idx, contribution: the k most positive and k most negative of every item, each once.
 
-    One item has one row per vector element, so its group is bounded.
+    Coefficients are as long as a vector, so they ride along as one array and every item is
+    sorted within its own row; nothing is shuffled.
     """
-    parts = items.select("item_id", F.posexplode(vec).alias("idx", "prob")).join(
-        broadcast_if_small(coefs.select("idx", "coef")), "idx"
+    table = coefs.agg(F.array_sort(F.collect_list(F.struct("idx", "coef")))).scalar()
+    value = lambda c: F.get(F.col("_v"), c["idx"]).cast("double") * c["coef"]
+    parts = lambda sign: F.array_sort(
+        F.transform("_c", lambda c: F.struct((sign * value(c)).alias("v"), c["idx"].alias("idx")))
     )
-    rows = parts.select("item_id", "idx", (F.col("prob").cast("double") * F.col("coef")).alias("contribution"))
-    high = top_per_group(rows, ["item_id"], [F.desc("contribution"), F.asc("idx")], k)
-    low = top_per_group(rows, ["item_id"], [F.asc("contribution"), F.asc("idx")], k)
-    return high.unionByName(low).drop("rank").distinct()
+    rows = items.select("item_id", F.col(vec).alias("_v"), table.alias("_c")).select(
+        "item_id", F.slice(parts(-1), 1, k).alias("_high"), F.slice(parts(1), 1, k).alias("_low")
+    )
+    back = lambda c, sign: F.transform(c, lambda e: F.struct(e["idx"].alias("idx"), (sign * e["v"]).alias("contribution")))
+    both = F.explode(F.array_distinct(F.concat(back("_high", -1), back("_low", 1))))
+    return rows.select("item_id", both.alias("_e")).select("item_id", "_e.idx", "_e.contribution")

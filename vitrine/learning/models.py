@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.keys import sanitize_key
-from vitrine.functions.vectors import dot
+from vitrine.functions.vectors import linear_maps
 
 
 @dataclass
@@ -34,14 +34,17 @@ class LinearScorer:
     divisor: float = 1.0
 
     def margin(self, vec: Column) -> Column:
-        m = self.members[0]
-        return dot(vec, F.lit(m.weights)) + m.bias
+        """Decision value of the first member."""
+        return linear_maps(vec, self.members[0].weights, self.members[0].bias)[0]
 
     def score(self, vec: Column) -> Column:
+        return self.link(linear_maps(vec, [m.weights for m in self.members], [m.bias for m in self.members]), 0)
+
+    def link(self, margins: Column, start: int) -> Column:
+        """Score from the members' decision values at `start` and after in an array."""
         total = F.lit(0.0)
-        for m in self.members:
-            z = m.slope * (dot(vec, F.lit(m.weights)) + m.bias) + m.shift
-            total = total + 1.0 / (1.0 + F.exp(-z))
+        for i, m in enumerate(self.members):
+            total = total + 1.0 / (1.0 + F.exp(-(m.slope * margins[start + i] + m.shift)))
         return total / (len(self.members) * self.divisor)
 
     def coefficients(self) -> np.ndarray:
@@ -75,13 +78,19 @@ def load_models(spark: SparkSession, path: str) -> list[LinearScorer]:
 def score_batch(items: DataFrame, models: list[LinearScorer], vectors: dict[str, str], column: str = "inferences") -> DataFrame:
     """Adds a map model name to {score}; `vectors` names the vector column of each feature.
 
-    All models are columns of one projection, so the table is read once.
+    The models of a feature share one matrix product, and the table is read once.
     """
-    entries = []
-    for m in models:
-        vec = F.col(vectors[m.feature])
-        entries += [sanitize_key(F.lit(m.name)), F.create_map(F.lit("score"), m.score(vec))]
-    return items.withColumn(column, F.create_map(*entries))
+    entries, products = [], {}
+    for feature in dict.fromkeys(m.feature for m in models):
+        members = [p for m in models if m.feature == feature for p in m.members]
+        margins = linear_maps(F.col(vectors[feature]), [p.weights for p in members], [p.bias for p in members])
+        products[f"_m_{feature}"] = margins
+        start = 0
+        for m in (m for m in models if m.feature == feature):
+            score = F.create_map(F.lit("score"), m.link(F.col(f"_m_{feature}"), start))
+            entries += [sanitize_key(F.lit(m.name)), score]
+            start += len(m.members)
+    return items.withColumns(products).withColumn(column, F.create_map(*entries)).drop(*products)
 
 
 def score_classes(items: DataFrame, name: str, probabilities: str, classes: list[str], column: str = "inferences") -> DataFrame:

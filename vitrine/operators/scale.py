@@ -17,6 +17,8 @@ BROADCAST_ROWS = 200_000
 # Spark cuts `row_number() <= k` before the shuffle only below this k.
 GROUP_LIMIT = 1000
 
+_stored: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir`, or a local one in local mode."""
@@ -34,12 +36,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut, lost executors do no harm."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables `stored` wrote in this process; call it when their results are used up."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -69,7 +77,8 @@ def number_rows(
 ) -> DataFrame:
     """`row_number` per group without ever holding a group in one task.
 
-    Rows are range partitioned by (group, order) and stored once. Each partition then only
+    Rows are range partitioned by (group, order), as many parts as `spark.sql.shuffle.partitions`
+    (fewer for little data, adaptive execution joins neighbours), and stored once. Each then only
     needs to know how many rows of its groups lie in earlier partitions, a table of at most
     one row per group and partition. `total` names a column for the group size; every column
     in `sums` also gets `<name>_upto` (running sum, this row included) and `<name>_total`,
@@ -77,10 +86,9 @@ def number_rows(
     """
     sums = sums or []
     summed = sums + [c for c in totals or [] if c not in sums]
-    spark = df.sparkSession
     keys = [F.col(g).asc() for g in group] + list(order)
     ordered = stored(
-        df.repartitionByRange(shuffle_parts(spark), *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_seq", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_seq", 33))

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine import values as V
-from vitrine.functions.vectors import dot, norm
+from vitrine.functions.vectors import linear_maps, norm
 from vitrine.operators.scale import top_per_group, top_rows
 
 # Equal similarities may differ in the last bits; order is decided on this many digits.
 DIGITS = 9
+# Queries multiplied at a time inside a task; bounds the score matrix.
+SLICE = 512
 
 
 def check_axis(axis: str) -> None:
@@ -38,18 +40,17 @@ def candidates(points: DataFrame, axis: str, status: str | None = V.INFERRED, da
 def similar_items(
     points: DataFrame, item_id, k: int = 20, axis: str = "eva02", status: str | None = V.INFERRED, date=None, type=None
 ) -> DataFrame:
-    """item_id, similarity, rank of the k points nearest to one item; one scan, one top-k."""
+    """item_id, similarity, rank of the k points nearest to one item; one lookup, one scan, one top-k."""
     if not 1 <= k <= V.SIMILAR_MAX:
         raise ValueError(f"k must be 1 to {V.SIMILAR_MAX}")
     check_axis(axis)
-    mine = points.where((F.col("axis") == axis) & (F.col("item_id") == item_id))
-    query = mine.agg(F.first("vec")).scalar()
-    scale = F.col("norm") * mine.agg(F.first("norm")).scalar()
-    rows = candidates(points, axis, status, date, type).where(F.col("item_id") != item_id)
-    rows = rows.select("item_id", "vec", query.alias("_q"), scale.alias("_scale"))
-    cosine = dot(F.col("vec"), F.col("_q")) / F.nullif("_scale", F.lit(0.0))
-    exact = rows.select("item_id", F.round(cosine, DIGITS).alias("_s"))
-    best = top_rows(exact.where("_s IS NOT NULL"), [F.desc("_s"), F.asc("item_id")], k)
+    mine = points.where((F.col("axis") == axis) & (F.col("item_id") == item_id)).select("vec", "norm").first()
+    if mine is None or not mine["norm"]:
+        return points.where(F.lit(False)).select("item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+    unit = np.asarray(mine["vec"], dtype=float) / mine["norm"]
+    rows = candidates(points, axis, status, date, type).where((F.col("item_id") != item_id) & (F.col("norm") > 0))
+    exact = rows.select("item_id", F.round(linear_maps(F.col("vec"), unit)[0] / F.col("norm"), DIGITS).alias("_s"))
+    best = top_rows(exact, [F.desc("_s"), F.asc("item_id")], k)
     ranked = top_per_group(best, [], [F.desc("_s"), F.asc("item_id")], k)
     return ranked.select("item_id", F.round("_s", 6).alias("similarity"), "rank")
 
@@ -66,21 +67,28 @@ def _block_best(k: int):
             return pd.DataFrame({"query_id": [], "item_id": [], "_s": []})
         points = points.sort_values("item_id", kind="stable")
         ids, asked = points["item_id"].to_numpy(), queries["query_id"].to_numpy()
-        scores = np.round(_unit_rows(queries["vec"]) @ _unit_rows(points["vec"]).T, DIGITS)
-        scores[asked[:, None] == ids[None, :]] = -np.inf
-        # ids ascend, so a stable sort of the negated scores breaks ties by id
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        kept = np.take_along_axis(scores, order, axis=1)
-        out = pd.DataFrame(
-            {"query_id": np.repeat(asked, order.shape[1]), "item_id": ids[order].ravel(), "_s": kept.ravel()}
-        )
-        return out[np.isfinite(out["_s"])]
+        right, left = _unit_rows(points["vec"]).T, _unit_rows(queries["vec"])
+        parts = []
+        for start in range(0, len(asked), SLICE):
+            q = asked[start : start + SLICE]
+            scores = np.round(left[start : start + SLICE] @ right, DIGITS)
+            scores[q[:, None] == ids[None, :]] = -np.inf
+            last = max(0, scores.shape[1] - k)
+            bound = np.partition(scores, last, axis=1)[:, last]
+            row, col = np.nonzero((scores >= bound[:, None]) & np.isfinite(scores))
+            found = scores[row, col]
+            # ids ascend with the column, so equal scores stay in id order
+            order = np.lexsort((col, -found, row))
+            place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            keep = order[place < k]
+            parts.append(pd.DataFrame({"query_id": q[row[keep]], "item_id": ids[col[keep]], "_s": found[keep]}))
+        return pd.concat(parts)
 
     return best
 
 
 def similar_items_all(
-    points: DataFrame, queries: DataFrame, k: int = 20, axis: str = "eva02", block: int = 2048, **filters
+    points: DataFrame, queries: DataFrame, k: int = 20, axis: str = "eva02", block: int = 16384, **filters
 ) -> DataFrame:
     """query_id, item_id, similarity, rank for every query item, exact.
 

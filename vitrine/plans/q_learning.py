@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vitrine.functions.udfs import model_scores
-from vitrine.functions.vectors import dot
 from vitrine.learning import datasets, fit, importance, models
 from vitrine.operators import aggregates, metrics
 from vitrine.operators.ranking import explode_fields
@@ -309,7 +308,16 @@ def _(spark, d):
     return _rounded(evaluation(spark, d).select("model", "weighting", "item_id", "y", "relevance", "weight"), "weight")
 
 
-@R.add("l7_evaluate")
+@R.add("l7_evaluate", f"""
+WITH {EVAL.replace("round(score, 1)", "score")}, r AS (SELECT *, (pow(2, relevance) - 1) * weight AS gain, row_number() OVER (PARTITION BY model, weighting ORDER BY score DESC, item_id) AS r,
+   row_number() OVER (PARTITION BY model, weighting ORDER BY (pow(2, relevance) - 1) * weight DESC, item_id) AS i FROM ev),
+a AS (SELECT model, weighting, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, sum(gain / log2(r + 1)) FILTER (r <= {K}) / sum(gain / log2(i + 1)) FILTER (i <= {K}) AS ndcg,
+   sum(weight * y) FILTER (r <= {K}) / least(count(*), {K}) AS p, sum(weight * y) FILTER (r <= {K}) / sum(weight * y) AS rec FROM r GROUP BY ALL),
+t AS (SELECT model, weighting, score, sum(weight * y) AS wp, sum(weight * (1 - y)) AS wn FROM ev GROUP BY ALL),
+c AS (SELECT *, sum(wn) OVER (PARTITION BY model, weighting ORDER BY score) - wn / 2 AS below, sum(wp) OVER w AS tp, sum(wn) OVER w AS fp FROM t WINDOW w AS (PARTITION BY model, weighting ORDER BY score DESC)),
+u AS (SELECT model, weighting, sum(wp * below) / (sum(wp) * sum(wn)) AS auc, sum(CASE WHEN wp > 0 THEN wp * tp / (tp + fp) ELSE 0 END) / sum(wp) AS ap FROM c GROUP BY ALL)
+SELECT model, weighting, n_pos, n_neg, {K} AS k, round(ndcg, 5) AS ndcg, round(auc, 5) AS auc, round(ap, 5) AS ap, round(p, 5) AS precision,
+  coalesce(round(1.25 * p * rec / nullif(0.25 * p + rec, 0), 5), 0) AS f0_5, coalesce(round(2 * p * rec / nullif(p + rec, 0), 5), 0) AS f1_0 FROM a JOIN u USING (model, weighting)""")
 def _(spark, d):
     return metrics.evaluate(stored(evaluation(spark, d, None)), BY, K)
 

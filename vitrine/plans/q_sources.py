@@ -83,7 +83,8 @@ def _(spark, d):
 @R.add("a5_import_collection", """
 SELECT event_id, epoch_us(ts) AS created_us, epoch_us(ts) AS last_us, event_type FROM events""")
 def _(spark, d):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # the given times have no zone: read them as UTC whatever the session's zone is
+    us = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
     stamp = F.struct(F.floor(us / 1_000_000).alias("seconds"), (F.pmod(us, F.lit(1_000_000)) * 1000).alias("nanoseconds"))
     raw = table(spark, d, "events").select(
         "event_id", "event_type", stamp.alias("created"), F.struct(F.array(stamp).alias("history")).alias("meta")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.scale import last_per_key
+from vitrine.operators.scale import broadcast_if_small, last_per_key, stored
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -58,8 +59,11 @@ def vector_points(df: DataFrame, axes: dict[str, str]) -> DataFrame:
 
 
 def upsert_vectors(df: DataFrame, axes: dict[str, str], path: str) -> None:
-    """Write points partitioned by axis and date; a date already there is replaced."""
-    write_partitions(vector_points(df, axes), path, ["axis", "date"])
+    """Insert or replace points in a table partitioned by axis and date.
+
+    An item keeps its date for life, so only the partitions of the batch are rewritten.
+    """
+    upsert_partitions(vector_points(df, axes), path, ["item_id"], ["axis", "date"])
 
 
 def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,6 +103,23 @@ def array_union_ref(df: DataFrame, column: str, ref: Column) -> DataFrame:
     return df.withColumn(column, F.array_union(F.coalesce(column, F.array().cast(df.schema[column].dataType)), F.array(ref)))
 
 
+def upsert_partitions(updates: DataFrame, path: str, keys: list[str], by: list[str]) -> None:
+    """Replace rows with equal `keys` in the partitions `updates` touches and add the others.
+
+    The merged partitions are stored aside first, as a table cannot be read and overwritten
+    at once. A key must stay in its partition.
+    """
+    updates = stored(updates)
+    spark = updates.sparkSession
+    try:
+        existing = spark.read.schema(updates.schema).parquet(path)
+    except AnalysisException:  # nothing written yet
+        return write_partitions(updates, path, by)
+    touched = broadcast_if_small(updates.select(*by).distinct())
+    kept = existing.join(touched, by, "left_semi").join(updates.select(*by, *keys), [*by, *keys], "left_anti")
+    write_partitions(stored(kept.select(*updates.columns).unionByName(updates)), path, by)
+
+
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace only the partitions present in `df`."""
     df.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

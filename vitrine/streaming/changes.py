@@ -39,14 +39,16 @@ def moderation_stats(changes: DataFrame, at: str = "changed_at") -> DataFrame:
 
 
 def moderation_stats_stream(changes: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep the statistics as a parquet table per batch: `path/batch=<id>` holds the whole table.
+    """Keep the whole statistics table in one of two folders in turn, with its batch number.
 
     A replayed batch overwrites its own folder, so at-least-once delivery of a batch changes
-    nothing. Readers take the largest batch (`latest_stats`).
+    nothing, and a crash while writing leaves the table of the batch before. Readers take the
+    largest batch (`latest_stats`).
     """
 
     def write(stats: DataFrame, batch: int) -> None:
-        stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        numbered = stats.withColumn("batch", F.lit(batch).cast("long"))
+        numbered.coalesce(1).write.mode("overwrite").parquet(f"{path}/slot={batch % 2}")
 
     writer = (
         moderation_stats(changes)
@@ -59,4 +61,4 @@ def moderation_stats_stream(changes: DataFrame, path: str, checkpoint: str, avai
 
 def latest_stats(spark, path: str) -> DataFrame:
     tables = spark.read.parquet(path)
-    return tables.where(F.col("batch") == tables.agg(F.max("batch")).first()[0]).drop("batch")
+    return tables.where(F.col("batch") == tables.agg(F.max("batch")).scalar()).drop("batch", "slot")
