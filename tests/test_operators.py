@@ -251,6 +251,15 @@ def test_upsert_keeps_unsupplied_fields(spark):
     assert [tuple(r) for r in got] == [(1, "a", 1), (2, "y", 2), (3, "z", 3)]
 
 
+def test_twitter_models_are_judged_on_public_labels(spark):
+    rows = [(1, "pixiv_public", None), (2, "not_bookmarked", None), (3, "twitter", None), (4, "pixiv_public", 1), (5, "pixiv_public", 3)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "item_id int, label string, rating int, group_weight double")
+    got = {(r["weighting"], r["item_id"]): (r["y"], r["relevance"], r["weight"]) for r in metrics.eval_subset(df, "twitter").collect()}
+    assert len(got) == 4 + 4 + 3 and ("r2plus", 4) not in got
+    assert got["weighted", 1] == (1, 2.0, 2.0) and got["weighted", 5] == (1, 4.0, 4.0) and got["unweighted", 5] == (1, 1.0, 1.0)
+    assert got["r2plus", 2] == (0, 0.0, 1.0)
+
+
 def test_toggle_twice_changes_nothing(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, None), (3, ["c"])], "item_id int, categories array<string>")
     once = dedup.toggle_category(df, F.lit("c"))

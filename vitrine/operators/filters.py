@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine import values as V
 from vitrine.functions.keys import resolve_path
+from vitrine.operators.scale import top_rows
 
 
 def filter_items(
@@ -60,9 +61,13 @@ def filter_tag(df: DataFrame, tags: DataFrame, tag: str, category: str, tier: st
     return df.join(tags.where(hit).select("item_id").distinct(), "item_id", "left_semi")
 
 
-def with_captions(page: DataFrame, column: str = "captions") -> DataFrame:
-    """Applied to an already limited page, which may therefore come out short."""
-    return page.where(F.size(column) > 0)
+def with_captions(page: DataFrame, size: int = V.PAGE_SIZE, column: str = "captions") -> DataFrame:
+    """Rows with captions of an already limited page, which may therefore come out short.
+
+    Adds has_next, decided on the page before this filter: a full page may have a successor.
+    """
+    full = F.count("*").over(Window.partitionBy()) == size
+    return page.withColumn("has_next", full).where(F.size(column) > 0)
 
 
 def select_pending(items: DataFrame, files: DataFrame, path: str = "local_path") -> DataFrame:
@@ -89,12 +94,21 @@ def labeling_pool(
 
 
 def filter_label_state(files: DataFrame, labels: DataFrame, state: str, label: str | None = None) -> DataFrame:
-    """Files by state: all, unlabeled, labeled or skipped; `label` narrows the labeled ones."""
+    """Files by state: all, unlabeled, labeled or skipped; `label` narrows state labeled only."""
     joined = files.join(labels.select("path", "label"), "path", "left")
     known, skipped = F.col("label").isNotNull(), F.col("label") == V.SKIP
     states = {"all": F.lit(True), "unlabeled": ~known, "labeled": known & ~skipped, "skipped": known & skipped}
     out = joined.where(states[state])
-    return out.where(F.col("label") == label) if label and state in ("all", "labeled") else out
+    return out.where(F.col("label") == label) if label in V.VALID_LABELS and state == "labeled" else out
+
+
+def label_page(
+    files: DataFrame, labels: DataFrame, state: str = "all", label=None, direction="asc", offset: int = 0, limit: int = V.PAGE_SIZE
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of a window in path order, one row with the total) of files in a label state."""
+    rows = filter_label_state(files, labels, state, label)
+    order = F.desc("path") if direction == "desc" else F.asc("path")
+    return top_rows(rows, [order], limit, offset), rows.agg(F.count("*").alias("total"))
 
 
 def validate_favorites(df: DataFrame, flag: str = "isFavorited", categories: str = "categories") -> DataFrame:

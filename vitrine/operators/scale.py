@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 # Spark cuts `row_number() <= k` before the shuffle only below this k.
 GROUP_LIMIT = 1000
+# A page ending beyond this row is found by rank: every task would send that many rows to one.
+SHALLOW = 2000
 
 _stored: list[str] = []
 
@@ -142,7 +144,7 @@ def top_per_group(
 
 def top_rows(df: DataFrame, order: list[Column], k: int, skip: int = 0) -> DataFrame:
     """`k` rows after the first `skip`; a deep page is found by rank, not by sorting on the driver."""
-    if skip + k <= 10_000:
+    if skip + k <= SHALLOW:
         return df.orderBy(*order).offset(skip).limit(k)
     ranked = number_rows(df, [], order, "_rank")
     return ranked.where(F.col("_rank").between(skip + 1, skip + k)).orderBy("_rank").drop("_rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from vitrine import values as V
 from vitrine.functions.udfs import model_scores
 from vitrine.learning import datasets, fit, importance, models
 from vitrine.operators import aggregates, metrics
@@ -152,6 +153,14 @@ def _(spark, d):
     return explode_fields(out, ("item_id",)).withColumn("value", F.round("value", 6))
 
 
+@R.add("k10_score_classes", """
+SELECT vec_id AS item_id, 'old_net' AS model, n AS field, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM embeddings, (VALUES (1, 'not_bookmarked'), (2, 'bookmarked_public'), (3, 'bookmarked_private')) c(i, n)""")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.slice("embedding", 1, 3).cast("array<double>").alias("p"))
+    out = models.score_classes(rows, "old.net", "p", V.CLASS_NAMES)
+    return explode_fields(out, ("item_id",)).withColumn("value", F.round("value", 6))
+
+
 @R.add("k11_inference_job", """
 SELECT doc_id AS item_id, CASE WHEN lang = 'de' THEN 'error' ELSE 'inferred' END AS status, lang <> 'de' AS scored FROM documents""")
 def _(spark, d):

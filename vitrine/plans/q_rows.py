@@ -78,12 +78,12 @@ def _(spark, d):
 
 @R.add("d6_with_captions", f"""
 WITH {MODERATED}, page AS (SELECT * FROM moderated ORDER BY minicpm DESC, item_id LIMIT 50)
-SELECT item_id, minicpm FROM page WHERE captioned""")
+SELECT item_id, minicpm, true AS has_next FROM page WHERE captioned""")
 def _(spark, d):
     m = moderated(spark, d)
     value = resolve_path(m, "moderations.minicpm.result", checked=False).cast("long")
     page = top_rows(m.withColumn("minicpm", value), [F.desc("minicpm"), F.asc("item_id")], 50)
-    return D.with_captions(page).select("item_id", "minicpm")
+    return D.with_captions(page).select("item_id", "minicpm", "has_next")
 
 
 def with_paths(spark, d):
@@ -143,6 +143,12 @@ def _(spark, d):
     return pick("unlabeled").unionByName(pick("skipped")).unionByName(pick("labeled", "pixiv_public"))
 
 
+@R.add("d10_label_page", f"""
+WITH {LABELED} SELECT path, label FROM labeled WHERE label <> '__skip__' ORDER BY path DESC LIMIT 50 OFFSET 50""")
+def _(spark, d):
+    return D.label_page(*paths_and_labels(spark, d), "labeled", direction="desc", offset=50)[0]
+
+
 @R.add("d11_validate_favorites", f"""
 WITH {FAVORITES} SELECT item_id, len(categories) BETWEEN 1 AND 50 AND len(categories) > 4 AS valid FROM favs""")
 def _(spark, d):
