@@ -34,6 +34,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     run, seconds = catalogue.queries(), {}
+    # start the JVM's reader and planner before the clock
+    spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().collect()
     for name in HEADLINE:
         start = time.perf_counter()
         run[name](spark, folder).write.format("noop").mode("overwrite").save()

@@ -107,6 +107,22 @@ def test_patterns_against_a_slow_scan(head, unit, times, tail):
         assert text.find_loop(sample) == (True, *want)
 
 
+def test_batches_give_the_same_as_single_texts():
+    import random
+
+    random.seed(5)
+    word = lambda: "".join(random.choice("ab") for _ in range(random.randint(1, 3)))
+    texts = [None, "", "short"]
+    for _ in range(1500):
+        unit = " ".join(word() for _ in range(random.randint(1, 6)))
+        noise = lambda: "".join(random.choice("abcdefg h.") for _ in range(random.randint(0, 60)))
+        texts.append(noise() + unit * random.randint(1, 8) + random.choice(["", " " + unit]) * random.randint(0, 5) + noise())
+    want = [text.find_loop(t) for t in texts]
+    assert 100 < sum(w[0] for w in want) < 1400
+    for letters in (50, 1000, 10**9):
+        assert text.find_loops(texts, letters) == want
+
+
 def test_clean_lines(spark):
     assert one(spark, "# Title\n\n\nfirst\n  # note\n\n\n\nsecond\n\n", text.clean_lines) == "first\n\nsecond"
 

@@ -103,13 +103,57 @@ def find_loop(text: str | None) -> tuple[bool, str | None, int]:
     return False, None, 0
 
 
+def _probe(codes: np.ndarray, starts: np.ndarray, sizes: tuple[int, int], repeats: int, width: int) -> np.ndarray:
+    """Which of the joined sequences (beginning at `starts`) may hold a repeated block.
+
+    A repeat makes (repeats - 1) * size positions in a row equal to the one a block on. Looking at
+    `width` of them at every `step` cannot miss such a row, and costs a fraction of a full scan.
+    """
+    found = np.zeros(len(starts), dtype=bool)
+    for size in range(sizes[0], sizes[1] + 1):
+        step, end = (repeats - 1) * size - width + 1, len(codes) - size - width + 1
+        if end <= 0:
+            break
+        same = np.ones(-(-end // step), dtype=bool)
+        for j in range(width):
+            same &= codes[j : end + j : step] == codes[size + j : size + end + j : step]
+        found[np.searchsorted(starts, np.flatnonzero(same) * step, side="right") - 1] = True
+    return found
+
+
+def may_loop(texts: list[str]) -> np.ndarray:
+    """Texts worth the exact check; a superset of those with a loop."""
+    words = [t.split() for t in texts]
+    begin = lambda parts: np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+    codes = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))[0]
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    by_word = _probe(codes, begin(words), V.PHRASE_WORDS, V.PHRASE_REPEATS, 4)
+    # a long run of one character is also a repeated pair
+    return by_word | _probe(letters, begin(texts), V.PATTERN_CHARS, V.PATTERN_REPEATS, 8)
+
+
+def find_loops(texts: list[str | None], letters: int = 4_000_000) -> list[tuple[bool, str | None, int]]:
+    """`find_loop` of many texts; about `letters` of them are probed together."""
+    out = [(False, None, 0)] * len(texts)
+    long_enough = [i for i, t in enumerate(texts) if t and len(t) >= V.PHRASE_CHARS * V.PHRASE_REPEATS]
+    part, size = [], 0
+    for n, i in enumerate(long_enough, start=1):
+        part.append(i)
+        size += len(texts[i])
+        if size >= letters or n == len(long_enough):
+            for k in np.flatnonzero(may_loop([texts[j] for j in part])):
+                out[part[k]] = find_loop(texts[part[k]])
+            part, size = [], 0
+    return out
+
+
 def repetition(text: Column) -> Column:
     """Loop check on Arrow batches of whole texts."""
 
     @F.pandas_udf("is_loop boolean, phrase string, times int")
     def check(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([find_loop(t) for t in batch], columns=["is_loop", "phrase", "times"])
+            yield pd.DataFrame(find_loops(batch.tolist()), columns=["is_loop", "phrase", "times"])
 
     return check(text)
 
