@@ -239,9 +239,11 @@ def test_known_models_are_skipped(spark):
 
 
 def test_failing_batch_goes_on(spark):
-    df = spark.createDataFrame([(i, bytes([i, 255]) if i % 4 else None) for i in range(40)], "item_id int, content binary").coalesce(1)
-    out = extract_features(df, byte_histogram, {"vec": "array<float>"}, batch=1)
-    assert out.where("error IS NOT NULL").count() == 10 and out.where("size(vec) = 16").count() == 30
+    content = lambda i: None if i % 4 == 0 else b"" if i == 7 else bytes([i, 255])
+    df = spark.createDataFrame([(i, content(i)) for i in range(40)], "item_id int, content binary").coalesce(1)
+    out = extract_features(df, byte_histogram, {"vec": "array<float>"}, batch=16)
+    assert {r["item_id"] for r in out.where("error IS NOT NULL").collect()} == {7, *range(0, 40, 4)}
+    assert out.where("size(vec) = 16").count() == 29
 
 
 def test_upsert_keeps_unsupplied_fields(spark):

@@ -172,7 +172,7 @@ def _(spark, d):
     pending = docs.select(F.col("doc_id").alias("item_id"), F.lit("pending").alias("status"), path.alias("local_path"))
     files = docs.select(path.alias("path"), F.when(F.col("lang") != "de", F.encode("text", "UTF-8")).alias("content"))
     scorer = models.LinearScorer("flat", "hist", "centroid", [models.Member([0.1] * 16, 0.0)])
-    out = inference_job(pending, files, byte_histogram, {"vec": "array<float>"}, [scorer], {"hist": "vec"}, {"hist": [("low", 0)]}, batch=1)
+    out = inference_job(pending, files, byte_histogram, {"vec": "array<float>"}, [scorer], {"hist": "vec"}, {"hist": [("low", 0)]})
     return out.select("item_id", "status", F.col("inferences").isNotNull().alias("scored"))
 
 

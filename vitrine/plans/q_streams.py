@@ -94,7 +94,7 @@ def _(spark, d):
     scorer = LinearScorer("flat", "hist", "centroid", [Member([0.1] * 16, 0.0)])
 
     def process(batch, number):
-        done = inference_job(batch, files, byte_histogram, {"vec": "array<float>"}, [scorer], {"hist": "vec"}, batch=1)
+        done = inference_job(batch, files, byte_histogram, {"vec": "array<float>"}, [scorer], {"hist": "vec"})
         done.select("item_id", "status").write.mode("overwrite").parquet(f"{out}/items/batch={number}")
 
     status = F.when(F.col("source").isin("src1"), "pending").when(F.col("source") == "src2", "error").otherwise("inferred")
