@@ -9,7 +9,7 @@ from vitrine.functions.vectors import linear_maps
 from vitrine.functions.udfs import byte_histogram, extract_features
 from vitrine.learning import datasets, fit, models
 from vitrine.learning.nnpu import fit_nnpu
-from vitrine.operators import dedup, metrics, nested, ranking, vectors
+from vitrine.operators import dedup, metrics, nested, ranking, scale, vectors
 from vitrine.sources import landing, sinks
 
 
@@ -246,7 +246,9 @@ def test_failing_batch_goes_on(spark):
     assert out.where("size(vec) = 16").count() == 29
 
 
-def test_upsert_keeps_unsupplied_fields(spark):
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_upsert_keeps_unsupplied_fields(spark, monkeypatch, bound):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", bound)
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, s string, n int")
     new = spark.createDataFrame([(2, "x", None, 1), (2, "y", None, 2), (3, "z", 3, 1)], "k int, s string, n int, o int")
     got = sinks.upsert(old, new, ["k"], [F.col("o")]).select("k", "s", "n").orderBy("k").collect()

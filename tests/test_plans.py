@@ -4,9 +4,10 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from vitrine.operators import aggregates, ranking
+from vitrine.operators import aggregates, joins, ranking
 from vitrine.plans import catalogue
 from vitrine.plans.fixtures import items
+from vitrine.sources import sinks
 
 
 def plan(df):
@@ -45,3 +46,14 @@ def test_top_lists_are_cut_before_the_shuffle(table):
 @pytest.mark.parametrize("name", [n for n in sorted(catalogue.queries()) if n.startswith(("d", "e", "h", "j"))])
 def test_no_cross_join(spark, name):
     assert "CartesianProduct" not in plan(catalogue.queries()[name](spark, SMALL))
+
+
+def test_small_batches_do_not_shuffle_the_target(spark, table):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = table.limit(5).select("item_id", F.lit("x").alias("status"))
+        text = plan(sinks.upsert(table, batch, ["item_id"]))
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text.split("Union")[1].split("FileScan")[0]
+        assert "SortMergeJoin" not in plan(table.transform(lambda t: joins.anti_existing(batch, t, ["item_id"]))).split("BroadcastHashJoin")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

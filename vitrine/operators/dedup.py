@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine import values as V
-from vitrine.operators.scale import first_per_key, skew_join
+from vitrine.operators.scale import first_per_key, matching, skew_join
 
 
 def dedupe_by_hash(items: DataFrame, hash: str = "sha256", at: str = "downloaded_at") -> DataFrame:
@@ -41,7 +41,7 @@ def flag_duplicates(new: DataFrame, items: DataFrame, hash: str = "sha256") -> D
 
     Within the batch the smallest key is the one that stays.
     """
-    stored = items.where(F.col(hash).isNotNull()).groupBy(hash).agg(
+    stored = matching(items.select(hash, "key"), new, [hash]).groupBy(hash).agg(
         F.min("key").alias("_low"), F.max("key").alias("_high")
     )
     batch = new.where(F.col(hash).isNotNull()).groupBy(hash).agg(F.min("key").alias("_first"))

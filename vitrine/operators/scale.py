@@ -54,9 +54,20 @@ def drop_stored(spark: SparkSession) -> int:
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to Spark."""
-    if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df) else df
+
+
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def matching(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `big` whose key is in `small`.
+
+    Small key lists are broadcast, so a stored catalogue is scanned but never shuffled for a
+    batch of new rows.
+    """
+    return big.join(broadcast_if_small(small.select(*keys).distinct()), keys, "left_semi")
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

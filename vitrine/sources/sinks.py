@@ -6,19 +6,25 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.scale import broadcast_if_small, last_per_key, stored
+from vitrine.operators.scale import broadcast_if_small, is_small, last_per_key, matching, stored
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """Set the supplied fields, insert unknown keys; `order` picks the last write within a batch.
 
-    A null in `updates` means the field was not supplied.
+    A null in `updates` means the field was not supplied. A small batch is broadcast, so the
+    target is scanned but not shuffled; a large one meets it in a full outer join.
     """
     if order:
         updates = last_per_key(updates, keys, order)
     fields = [c for c in updates.columns if c not in keys]
     fresh = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in fields])
-    merged = target.join(fresh, keys, "full")
+    if is_small(fresh):
+        fresh = F.broadcast(fresh)
+        unknown = fresh.join(matching(target.select(*keys), fresh, keys), keys, "left_anti")
+        merged = target.join(fresh, keys, "left").unionByName(unknown, allowMissingColumns=True)
+    else:
+        merged = target.join(fresh, keys, "full")
     names = [c for c in target.columns if c not in keys]
     names += [c for c in fields if c not in names]
     value = lambda c: (
@@ -36,7 +42,7 @@ def merge_map(df: DataFrame, column: str, key: Column, value: Column) -> DataFra
 
 def append_missing(store: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `batch` whose key is not stored yet: what a resumed run still has to append."""
-    return batch.join(store.select(*keys), keys, "left_anti")
+    return batch.join(matching(store.select(*keys), batch, keys), keys, "left_anti")
 
 
 def vector_points(df: DataFrame, axes: dict[str, str]) -> DataFrame:
@@ -68,7 +74,7 @@ def upsert_vectors(df: DataFrame, axes: dict[str, str], path: str) -> None:
 
 def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Drop the old rows of every key in `new`, then append `new`."""
-    kept = existing.join(new.select(*keys).distinct(), keys, "left_anti")
+    kept = existing.join(broadcast_if_small(new.select(*keys).distinct()), keys, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
