@@ -9,7 +9,7 @@ from vitrine.functions.vectors import linear_maps
 from vitrine.functions.udfs import byte_histogram, extract_features
 from vitrine.learning import datasets, fit, models
 from vitrine.learning.nnpu import fit_nnpu
-from vitrine.operators import dedup, metrics, nested, ranking, scale, vectors
+from vitrine.operators import aggregates, dedup, metrics, nested, ranking, scale, vectors
 from vitrine.sources import landing, sinks
 
 
@@ -264,6 +264,14 @@ def test_twitter_models_are_judged_on_public_labels(spark):
     assert got["r2plus", 2] == (0, 0.0, 1.0)
 
 
+def test_exact_median_with_ties(spark):
+    random.seed(2)
+    rows = [(g, float(random.randint(0, 4))) for g in ("a", "b", "b", "b") for _ in range(random.randint(20, 40))] + [("one", 7.0), ("two", 1.0), ("two", 2.0)]
+    got = {r["g"]: (r["n"], r["median"]) for r in aggregates.exact_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    want = {g: [v for h, v in rows if h == g] for g in {g for g, _ in rows}}
+    assert got == {g: (len(v), float(np.median(v))) for g, v in want.items()}
+
+
 def test_toggle_twice_changes_nothing(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, None), (3, ["c"])], "item_id int, categories array<string>")
     once = dedup.toggle_category(df, F.lit("c"))

@@ -37,8 +37,8 @@ def mean_gradients(df: DataFrame, model: LinearScorer, n: int = 2000, seed: int
 def feature_importance(coefs: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
     """rank, tag, coef, idx of the k largest and k smallest coefficients of each model."""
     rows = coefs.join(broadcast_if_small(vocabulary.select("idx", "tag")), "idx")
-    top = top_per_group(rows, ["model"], [F.desc("coef"), F.asc("idx")], k).withColumn("direction", F.lit("positive"))
-    low = top_per_group(rows, ["model"], [F.asc("coef"), F.asc("idx")], k).withColumn("direction", F.lit("negative"))
+    top = top_per_group(rows, ["model"], [F.desc("coef"), F.asc("idx")], k, lanes=0).withColumn("direction", F.lit("positive"))
+    low = top_per_group(rows, ["model"], [F.asc("coef"), F.asc("idx")], k, lanes=0).withColumn("direction", F.lit("negative"))
     return top.unionByName(low).select("model", "direction", "rank", "tag", F.round("coef", 6).alias("coef"), "idx")
 
 

@@ -119,10 +119,14 @@ def page_count(stats: DataFrame, size: int = V.PAGE_SIZE, total: str = "n") -> D
 
 
 def exact_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """n and exact median per group from row ranks, so no group is collected."""
-    ranked = number_rows(df.where(F.col(value).isNotNull()).select(*group, value), group, [F.asc(value)], "_rank", "_n")
-    middle = (F.col("_rank") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rank") == F.floor(F.col("_n") / 2) + 1)
-    return ranked.where(middle).groupBy(*group).agg(F.max("_n").alias("n"), F.avg(value).alias("median"))
+    """n and exact median per group from running counts over distinct values; no group is collected."""
+    ties = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    placed = number_rows(ties, group, [F.asc(value)], "_rank", sums=["n"])
+    holds = lambda row: F.when((F.col("n_upto") >= row) & (F.col("n_upto") - F.col("n") < row), F.col(value))
+    low, high = F.floor((F.col("n_total") + 1) / 2), F.floor(F.col("n_total") / 2) + 1
+    return placed.groupBy(*group).agg(
+        F.max("n_total").alias("n"), ((F.max(holds(low)) + F.max(holds(high))) / 2).alias("median")
+    )
 
 
 def median_score_by_rating(scored: DataFrame, by=("model",)) -> DataFrame:

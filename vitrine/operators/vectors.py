@@ -51,7 +51,7 @@ def similar_items(
     rows = candidates(points, axis, status, date, type).where((F.col("item_id") != item_id) & (F.col("norm") > 0))
     exact = rows.select("item_id", F.round(linear_maps(F.col("vec"), unit)[0] / F.col("norm"), DIGITS).alias("_s"))
     best = top_rows(exact, [F.desc("_s"), F.asc("item_id")], k)
-    ranked = top_per_group(best, [], [F.desc("_s"), F.asc("item_id")], k)
+    ranked = top_per_group(best, [], [F.desc("_s"), F.asc("item_id")], k, lanes=0)
     return ranked.select("item_id", F.round("_s", 6).alias("similarity"), "rank")
 
 
