@@ -1,4 +1,5 @@
 import datetime as dt
+import functools
 import random
 
 import numpy as np
@@ -285,3 +286,30 @@ def test_union_manifest_prefers_private(spark):
     ids = lambda *r: spark.createDataFrame([(i,) for i in r], "artwork_id string")
     out = dedup.union_manifest(row(("p/1", "1", "/1"), ("p/2", "2", "/2"), ("p/9", "9", "/9")), ids("1"), ids("1", "2"), row(("t/1", None, "/t"), ("t/1", None, "/u")), row(("d/2", "2", "/d2"), ("d/3", "3", "/d3"), ("d/4", None, "/d4")))
     assert {(r["item_id"], r["label"], r["file_path"]) for r in out.collect()} == {("p/1", "pixiv_private", "/1"), ("p/2", "pixiv_public", "/2"), ("t/1", "twitter", "/t"), ("d/3", "unlabeled", "/d3"), ("d/4", "unlabeled", "/d4")}
+
+
+def test_salted_joins_change_no_result(spark, monkeypatch):
+    """The same answers when every key counts as hot, with a third of the rows under one key."""
+    n = 900
+    hash_ = F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 100).cast("string"))
+    rows = spark.range(n).select(
+        F.col("id").alias("item_id"), F.lpad("id", 5, "0").alias("key"), hash_.alias("sha256"), F.lit("inferred").alias("status"),
+        F.timestamp_seconds(F.col("id") * 7919 % 1000).alias("downloaded_at"), F.lit("/x").alias("local_path"), hash_.alias("artwork_id"),
+    )
+    jobs = {
+        "dedupe": lambda: dedup.dedupe_by_hash(rows).select("key", "canonical_key", "outcome", "local_path"),
+        "flag": lambda: dedup.flag_duplicates(rows.where("item_id % 2 = 0"), rows.where("item_id % 2 = 1")).select("key", "status"),
+        "groups": lambda: aggregates.duplicate_groups(rows).select("key", "n"),
+        "sizes": lambda: aggregates.group_sizes(rows).select("item_id", "artwork_group_size"),
+        "ranks": lambda: metrics.combined_score(rows.select("item_id", F.lit("m").alias("model"), (F.col("item_id") % 3).cast("double").alias("score"))),
+    }
+    plain = {name: sorted(map(str, job().collect())) for name, job in jobs.items()}
+    salted = functools.partial(scale.skew_join, salts=8, min_hot=1, sample=1)
+    for module in (dedup, aggregates, metrics):
+        monkeypatch.setattr(module, "skew_join", salted)
+    for name, job in jobs.items():
+        assert sorted(map(str, job().collect())) == plain[name], name
+    pandas = rows.toPandas().sort_values(["downloaded_at", "key"])
+    first = pandas.groupby("sha256")["key"].first()
+    got = {r["key"]: r["canonical_key"] for r in jobs["dedupe"]().collect()}
+    assert all(got[k] == first[h] for k, h in zip(pandas["key"], pandas["sha256"]))

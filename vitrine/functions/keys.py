@@ -75,6 +75,11 @@ def target_date(now: Column, days: int, hours: int = 0, zone: str = V.ZONE) -> C
     return F.date_format(F.date_sub(F.to_date(local), days), "yyyy-MM-dd")
 
 
+def ranking_key(date: Column, mode: Column, post_id: Column) -> Column:
+    """Key of a post within one day's ranking."""
+    return F.concat_ws("-", date, mode, post_id.cast("string"))
+
+
 def _inside(path: Column, root: str) -> Column:
     """Path below `root`, null outside it."""
     prefix = root.rstrip("/") + "/"

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.scale import is_small
+
 
 def _jpeg_size(b: bytes):
     at = 2
@@ -84,8 +86,13 @@ def content_facts(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def hash_cache(paths: DataFrame, cache: DataFrame, files: DataFrame) -> DataFrame:
-    """path, sha256, cached: known hashes are reused, only the other contents are read."""
+    """path, sha256, cached: known hashes are reused, only the other contents are read.
+
+    Contents are hashed where they are read, so only hashes are shuffled.
+    """
     known = paths.join(cache.select("path", "sha256"), "path").withColumn("cached", F.lit(True))
-    rest = paths.join(cache.select("path"), "path", "left_anti").join(files.select("path", "content"), "path", "left")
-    fresh = rest.select("path", F.sha2(F.col("content"), 256).alias("sha256"), F.lit(False).alias("cached"))
+    rest = paths.join(cache.select("path"), "path", "left_anti")
+    source = files.join(F.broadcast(rest.select("path")), "path", "left_semi") if is_small(rest) else files
+    hashed = source.select("path", F.sha2(F.col("content"), 256).alias("sha256"))
+    fresh = rest.join(hashed, "path", "left").withColumn("cached", F.lit(False))
     return known.select("path", "sha256", "cached").unionByName(fresh)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from vitrine import values as V
 from vitrine.functions.udfs import extract_features
 from vitrine.learning.models import LinearScorer, score_batch
-from vitrine.operators.filters import select_pending
+from vitrine.operators.filters import pending
 from vitrine.operators.nested import important_tag_probs
-from vitrine.operators.scale import stored
+from vitrine.operators.scale import broadcast_if_small, stored
 
 
 def inference_job(
@@ -30,8 +30,9 @@ def inference_job(
     Items whose batch fails become `error` and the rest goes on. Vectors are stored once, as
     both the scores and the vector table are made from them.
     """
-    todo = select_pending(items, files).select("item_id", "local_path")
-    contents = todo.join(files.select(F.col("path").alias("local_path"), "content"), "local_path")
+    todo = pending(items).select("item_id", "local_path")
+    # a small backlog is broadcast, so contents move only to be scored
+    contents = files.select(F.col("path").alias("local_path"), "content").join(broadcast_if_small(todo), "local_path")
     found = stored(extract_features(contents, extract, outputs, batch))
     good = F.col("error").isNull()
     scored = score_batch(found, models, vectors)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine import values as V
 from vitrine.functions.keys import resolve_path
-from vitrine.operators.scale import top_rows
+from vitrine.operators.scale import matching, top_rows
 
 
 def filter_items(
@@ -70,10 +70,16 @@ def with_captions(page: DataFrame, size: int = V.PAGE_SIZE, column: str = "capti
     return page.withColumn("has_next", full).where(F.size(column) > 0)
 
 
+def pending(items: DataFrame, path: str = "local_path") -> DataFrame:
+    """Items still to be scored, or failed before, that have a path."""
+    return items.where(F.col("status").isin(V.PENDING, V.ERROR) & F.col(path).isNotNull())
+
+
 def select_pending(items: DataFrame, files: DataFrame, path: str = "local_path") -> DataFrame:
     """Items still to be scored whose file is there."""
-    waiting = items.where(F.col("status").isin(V.PENDING, V.ERROR) & F.col(path).isNotNull())
-    return waiting.join(files.select(F.col("path").alias(path)).distinct(), path, "left_semi")
+    waiting = pending(items, path)
+    there = matching(files.select(F.col("path").alias(path)), waiting, [path])
+    return waiting.join(there, path, "left_semi")
 
 
 def needs_backfill(df: DataFrame, path: str = "local_path", facts=("width", "file_size", "sha256")) -> DataFrame:

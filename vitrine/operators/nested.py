@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitrine import values as V
 from vitrine.functions.keys import media_id_from_url
 from vitrine.functions.vectors import take_indices
-from vitrine.operators.scale import broadcast_if_small, first_per_key, last_per_key
+from vitrine.operators.scale import broadcast_if_small, last_per_key
 
 
 def media_mapping(entries: DataFrame, order: list[str] = ("created_at", "id_str")) -> DataFrame:
@@ -98,13 +98,15 @@ def ordered_tags(tiered: DataFrame, ips: DataFrame, tier: str = "low") -> DataFr
     )
     wanted = all_tags.where(F.col("tier").isin(V.TIERS[: V.TIERS.index(tier) + 1]))
     t, c = _position("tier", V.TIERS), _position("category", V.TAG_CATEGORY_ORDER)
-    kept = first_per_key(wanted, ["item_id", "tag"], [t, c])
-    # one item holds at most the vocabulary, so its list is bounded
-    shown = kept.groupBy("item_id").agg(
-        F.array_sort(F.collect_list(F.struct(c.alias("c"), t.alias("t"), "tag", "category", "tier", "prob"))).alias("_l")
+    # one item holds at most the vocabulary, so its list is bounded and one shuffle is enough
+    entry = F.struct("tag", t.alias("t"), c.alias("c"), "category", "tier", "prob")
+    lists = wanted.groupBy("item_id").agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+    is_first = lambda e, i: (i == 0) | (F.get("_l", i - 1)["tag"] != e["tag"])
+    shown = F.array_sort(
+        F.transform(F.filter("_l", is_first), lambda e: F.struct(e["c"].alias("c"), e["t"].alias("t"), e["tag"].alias("tag"), e.alias("e")))
     )
-    return shown.select("item_id", F.posexplode("_l").alias("_p", "_e")).select(
-        "item_id", (F.col("_p") + 1).alias("position"), "_e.tag", "_e.category", "_e.tier", "_e.prob"
+    return lists.select("item_id", F.posexplode(shown).alias("_p", "_s")).select(
+        "item_id", (F.col("_p") + 1).alias("position"), *[f"_s.e.{n}" for n in ("tag", "category", "tier", "prob")]
     )
 
 

@@ -14,7 +14,7 @@ from vitrine.functions.keys import item_key
 from vitrine.operators.dedup import flag_duplicates
 from vitrine.operators.joins import anti_existing
 from vitrine.operators.ranking import score_ranks
-from vitrine.operators.scale import first_per_key
+from vitrine.operators.scale import first_per_key, matching
 from vitrine.operators.scale import stored as written
 from vitrine.sources.landing import PAGE_SCHEMA, posts_of_pages
 
@@ -25,14 +25,15 @@ def new_items(pages: DataFrame, provider: str, stored: DataFrame, hashes: DataFr
     """Items of landed pages that are not stored: keyed, checked for equal content, pending or deduped.
 
     `hashes` gives sha256 by url, `stored` the items so far (type, post_id, key, sha256). The
-    posts are written once, as several joins start from them.
+    posts, and then the new ones with their hashes, are written, as several joins start from them.
     """
     posts = posts_of_pages(pages, provider)
     posts = posts.withColumn("key", item_key(provider, F.col("post_id"), F.col("url"))).where("key IS NOT NULL")
     posts = first_per_key(posts, ["type", "post_id"], [F.col("page"), F.col("index")])
     posts = written(posts)
     fresh = anti_existing(posts, stored, ["type", "post_id"])
-    fresh = fresh.join(hashes.select("url", "sha256"), "url").withColumn("local_path", F.concat(F.lit("/media/"), "key"))
+    fresh = fresh.join(matching(hashes.select("url", "sha256"), fresh, ["url"]), "url").withColumn("local_path", F.concat(F.lit("/media/"), "key"))
+    fresh = written(fresh.select("type", "post_id", "key", "url", "sha256", "local_path"))
     return flag_duplicates(fresh, stored).select("type", "post_id", "key", "url", "sha256", "status", "local_path")
 
 
