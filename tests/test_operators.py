@@ -83,7 +83,8 @@ def test_dedupe_by_hash(spark):
         "d": ("unique", "inferred", "/d"),
         "e": ("unique", "inferred", "/e"),
     }
-    again = dedup.dedupe_by_hash(once.drop("outcome", "canonical_key"))
+    assert [r["freed_path"] for r in once.where("freed_path IS NOT NULL").collect()] == ["/a"]
+    again = dedup.dedupe_by_hash(once.drop("outcome", "canonical_key", "freed_path"))
     assert again.where("outcome = 'deduped'").count() == 0
     assert {(r["key"], r["status"]) for r in again.collect()} == {(r["key"], r["status"]) for r in once.collect()}
 
@@ -152,6 +153,17 @@ def test_vector_table_round_trip(spark, tmp_path):
     assert sorted((r["item_id"], r["status"], r["norm"]) for r in rows) == [(1, "pending", 5.0), (2, "inferred", 1.0), (3, "inferred", 5.0)]
 
 
+def test_feature_store_grows_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "item_id string, vec array<float>")
+    sinks.append_features(df.where("item_id = 'a'"), path, "eva02")
+    sinks.append_features(df, path, "eva02")
+    sinks.append_features(df, path, "eva02")
+    sinks.append_features(df, path, "pixai")
+    assert sorted(r["item_id"] for r in landing.read_feature_store(spark, path, "eva02").collect()) == ["a", "b"]
+    assert spark.read.parquet(path).count() == 4
+
+
 def test_similar_blocks_equal_one_block(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "eva02", [float(x) for x in rng.normal(size=8)], 1.0, "2024-01-01", "t", "inferred") for i in range(120)]

@@ -13,7 +13,7 @@ def dedupe_by_hash(items: DataFrame, hash: str = "sha256", at: str = "downloaded
     """Adds canonical_key and outcome (unique, canonical, deduped, already_deduped).
 
     The oldest row of equal content wins, then the smallest key; the others become deduped
-    and lose their path. The winner is an aggregate joined back with salted hashes.
+    and lose their path, which `freed_path` lists for whoever deletes the files. The winner is an aggregate joined back with salted hashes.
     """
     age = F.coalesce(F.col(at), F.timestamp_seconds(F.lit(0)))
     rows = items.where(F.col(hash).isNotNull())
@@ -32,6 +32,7 @@ def dedupe_by_hash(items: DataFrame, hash: str = "sha256", at: str = "downloaded
     changed = F.col("outcome") == "deduped"
     out = out.withColumn("status", F.when(changed, V.DEDUPED).otherwise(F.col("status")))
     if "local_path" in items.columns:
+        out = out.withColumn("freed_path", F.when(changed, F.col("local_path")))
         out = out.withColumn("local_path", F.when(~changed, F.col("local_path")))
     return out
 

@@ -45,6 +45,18 @@ def append_missing(store: DataFrame, batch: DataFrame, keys: list[str]) -> DataF
     return batch.join(matching(store.select(*keys), batch, keys), keys, "left_anti")
 
 
+def append_features(batch: DataFrame, path: str, feature: str) -> None:
+    """Append the (item_id, vec) rows of a feature that its store lacks; a rerun adds nothing."""
+    rows = batch.select("item_id", F.col("vec").cast("array<float>").alias("vec"))
+    kind = dict(rows.dtypes)["item_id"]
+    try:
+        store = batch.sparkSession.read.schema(f"item_id {kind}, feature_name string").parquet(path)
+        rows = append_missing(store.where(F.col("feature_name") == feature), rows, ["item_id"])
+    except AnalysisException:  # nothing written yet
+        pass
+    rows.withColumn("feature_name", F.lit(feature)).write.partitionBy("feature_name").mode("append").parquet(path)
+
+
 def vector_points(df: DataFrame, axes: dict[str, str]) -> DataFrame:
     """One point per item and axis: id, unit norm and payload. `axes` maps axis to vector column."""
     from vitrine.functions.keys import uuid5
