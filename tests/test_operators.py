@@ -261,7 +261,7 @@ def test_failing_batch_goes_on(spark):
 
 @pytest.mark.parametrize("bound", [0, 200_000])
 def test_upsert_keeps_unsupplied_fields(spark, monkeypatch, bound):
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", bound)
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, s string, n int")
     new = spark.createDataFrame([(2, "x", None, 1), (2, "y", None, 2), (3, "z", 3, 1)], "k int, s string, n int, o int")
     got = sinks.upsert(old, new, ["k"], [F.col("o")]).select("k", "s", "n").orderBy("k").collect()

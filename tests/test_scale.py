@@ -89,13 +89,61 @@ def test_shared_folder_follows_the_session(spark, tmp_path):
     assert scale.stored(spark.range(5)).count() == 5
 
 
-def test_broadcast_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
-    plan = lambda df: df._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(scale.broadcast_if_small(spark.range(3)))
-    assert "broadcast" not in plan(scale.broadcast_if_small(spark.range(4)))
-    got = scale.number_rows(skewed(spark), ["g"], [F.asc("v"), F.asc("id")], "r", "n")
-    assert got.agg(F.max("r")).first()[0] == 2000
+def logical(df):
+    return df._jdf.queryExecution().logical().toString()
+
+
+def test_broadcast_is_measured_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 64)
+    limit = lambda df: scale.is_small(df, 64)
+    assert limit(spark.range(4)) and not limit(spark.range(5))
+    wide = spark.range(2).select(F.array_repeat(F.lit(1.0), 100).alias("vec"))
+    assert not limit(wide) and scale.is_small(wide, 4000)
+    assert not limit(spark.range(2).select(F.create_map(F.lit("k"), F.lit("v" * 50)).alias("m")))
+    assert limit(spark.range(0).select(F.lit(None).cast("string").alias("s")))
+    assert "broadcast" in logical(scale.broadcast_if_small(spark.range(3)))
+
+
+def test_measuring_combines_before_one_task_sees_rows(spark):
+    """The only rows that meet in one task are one partial sum per task."""
+    df = spark.range(1000).select("id", F.lit("x").alias("s"))
+    widths = sum((scale._width(F.col(f.name), f.dataType).cast("long") for f in df.schema), F.lit(0))
+    plan = df.select(widths.alias("_b")).agg(F.sum("_b"))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan.split("Exchange SinglePartition")[1]
+    assert scale.is_small(df) and not scale.is_small(df, 10_000)
+
+
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_null_keys_are_spread(spark, how):
+    df = spark.range(8000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 50).alias("g"))
+    right = spark.range(5).select((F.col("id") * 10).alias("g"), F.lit(1).alias("x"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = scale.skew_join(df, right, ["g"], how, ["id"])
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        rows = got.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert rows == df.join(right, ["g"], how).count()
+    assert max(sizes) < 3 * rows / 16
+
+
+def test_hot_keys_are_bounded_by_arithmetic(spark):
+    """Every key as hot as it can be: no more keys than twice the partitions."""
+    df = spark.range(4000).select("id", (F.col("id") % 8).alias("g"))
+    assert scale.hot_keys(df, ["g"], ["id"], min_hot=1, sample=1).count() == 8
+    assert scale.hot_keys(df.withColumn("g", F.col("id") % 4000), ["g"], ["id"], min_hot=1, sample=1).count() == 0
+
+
+@pytest.mark.parametrize("k", [3, 999, 1000])
+def test_rank_type_does_not_depend_on_k(spark, k):
+    df = scale.top_per_group(skewed(spark, 50), ["g"], [F.asc("id")], k)
+    assert dict(df.dtypes)["rank"] == "bigint"
 
 
 def test_stored_tables_can_be_dropped(spark):

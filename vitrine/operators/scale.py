@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A broadcast side never has more rows than this.
-BROADCAST_ROWS = 200_000
+# A broadcast side is never larger than this, by the sum of its rows' widths.
+BROADCAST_BYTES = 64 << 20
+# Above this many times the limit, the planner's own estimate is enough to say no.
+SURELY_LARGE = 256
 # Spark cuts `row_number() <= k` before the shuffle only below this k.
 GROUP_LIMIT = 1000
 # A page ending beyond this row is found by rank: every task would send that many rows to one.
@@ -53,12 +58,30 @@ def drop_stored(spark: SparkSession) -> int:
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave the join to Spark."""
+    """Hint a broadcast only after measuring; otherwise leave the join to Spark."""
     return F.broadcast(df) if is_small(df) else df
 
 
-def is_small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes one value takes, about; nested values by their JSON text."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.greatest(F.size(column), F.lit(0)) * 8 + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+    return F.lit(16)
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether all rows together take at most `limit` bytes: one sum, combined before the shuffle."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > SURELY_LARGE * limit:
+        return False
+    widths = [_width(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields]
+    total = df.select(sum(widths, F.lit(0)).alias("_b")).agg(F.sum("_b")).first()[0]
+    return (total or 0) <= limit
 
 
 def matching(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,7 +181,7 @@ def top_per_group(
 
     def first(rows: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*order)
-        return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+        return rows.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
     if lanes:
         laned = df.withColumn("_lane", F.spark_partition_id() % lanes)
@@ -193,6 +216,21 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
 
 
+def hot_keys(df: DataFrame, on: list[str], spread: list[str], min_hot: int, sample: int) -> DataFrame:
+    """Keys that alone fill half of a task's fair share of `df`, and have at least `min_hot` rows.
+
+    Counted on a hash sample of the rows. A key needs 1 / 2p of the sampled rows for p shuffle
+    partitions, so there are never more than 2p such keys, whatever the data holds.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = [F.col(k).isNotNull() for k in on]
+    picked = F.pmod(F.xxhash64(*spread), F.lit(sample)) == 0 if sample > 1 else F.lit(True)
+    counts = df.where(picked).where(reduce(and_, known)).groupBy(*on).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    least = max(1, min_hot // sample, -(-total // (2 * parts)))
+    return counts.where(F.col("_n") >= least).select(*on)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -200,31 +238,31 @@ def skew_join(
     how: str,
     spread: list[str],
     salts: int = 64,
-    min_hot: int = 50_000,
+    min_hot: int = 2_000,
     sample: int = 16,
 ) -> DataFrame:
-    """Equi join whose hot left keys are spread over `salts` tasks.
+    """Equi join whose hot and null left keys are spread over many tasks.
 
-    A hash sample of the rows finds keys with about `min_hot` rows or more. At most 256 can
-    be that hot, so the list is safe to broadcast; a key missed by the sample is only slower.
-    Right rows of a hot key are repeated once per salt, all other rows move as in any join.
-    `spread` names left columns that differ between rows of one key.
+    `hot_keys` bounds the list of hot keys by arithmetic, so it is safe to broadcast; a key the
+    sample misses is only slower. Right rows of a hot key are repeated once per salt. A null key
+    matches nothing, so its left rows move by a hash of `spread` alone. `spread` names left
+    columns that differ between rows of one key.
     """
-    picked = F.pmod(F.xxhash64(*spread), F.lit(sample)) == 0 if sample > 1 else F.lit(True)
-    hot = F.broadcast(
-        left.where(picked)
-        .groupBy(*on)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") >= max(1, min_hot // sample))
-        .orderBy(F.desc("_n"), *on)
-        .limit(256)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
+    hot = F.broadcast(hot_keys(left, on, spread, min_hot, sample).withColumn("_hot", F.lit(True)))
+    unmatched = reduce(or_, [F.col(k).isNull() for k in on])
+    mixed = F.xxhash64(*spread)
     salted = (
         left.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0))
+        .withColumn(
+            "_salt",
+            F.when(unmatched, mixed)
+            .when(F.col("_hot"), F.pmod(mixed, F.lit(salts)))
+            .otherwise(F.lit(0))
+            .cast("long"),
+        )
         .drop("_hot")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), last))
+    repeated = right.join(hot, on, "left").withColumn("_salt", copies).drop("_hot")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

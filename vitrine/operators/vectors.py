@@ -46,7 +46,7 @@ def similar_items(
     check_axis(axis)
     mine = points.where((F.col("axis") == axis) & (F.col("item_id") == item_id)).select("vec", "norm").first()
     if mine is None or not mine["norm"]:
-        return points.where(F.lit(False)).select("item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+        return points.where(F.lit(False)).select("item_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("rank"))
     unit = np.asarray(mine["vec"], dtype=float) / mine["norm"]
     rows = candidates(points, axis, status, date, type).where((F.col("item_id") != item_id) & (F.col("norm") > 0))
     exact = rows.select("item_id", F.round(linear_maps(F.col("vec"), unit)[0] / F.col("norm"), DIGITS).alias("_s"))
