@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from vitrine.llm import q_native, q_texts
 
 REGISTRIES = (q_native.R, q_texts.R)
 
 
 def queries() -> dict:
-    return {name: fn for r in REGISTRIES for name, fn in r.queries.items()}
+    return {name: fn for r in REGISTRIES for name, fn in r.queries.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

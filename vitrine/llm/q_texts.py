@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from vitrine.llm import near_copies
+import public_tokenizers
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vitrine.llm import language, near_copies, packing
 from vitrine.llm.q_native import captions
 from vitrine.plans.fixtures import Registry
 
@@ -13,3 +17,29 @@ R = Registry()
 def op8(spark, d):
     found = near_copies.near_copies(captions(spark, d), keep=["item_id"])
     return found.select(found.item_id.alias("doc_id"), "fingerprint", "component_id")
+
+
+def held_out(id: str):
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 3 == 1, F.lit(False))
+
+
+@R.add("op5_detect_language")
+def op5(spark, d):
+    texts = captions(spark, d)
+    model = language.fit_languages(texts.where(~held_out("item_id")).select("caption", "lang"))
+    found = language.detect_language(texts.select("item_id", "caption"), model)
+    return found.select(found.item_id.alias("doc_id"), held_out("item_id").alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """The pieces of captions under the names of the given tables, with the digest of their ids."""
+    pieces = packing.pack_captions(texts, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        pieces.item_id.alias("doc_id"), "start", "length", F.crc32("token_ids").alias("ids_crc32"),
+        F.col("caption_tokens").alias("doc_tokens"), "sequence_id", "offset",
+    )
+
+
+@R.add("op3_pack_captions")
+def op3(spark, d):
+    return packed(captions(spark, d))
