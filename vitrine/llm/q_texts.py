@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm import language, near_copies, packing
+from vitrine.llm import graph_index, language, near_copies, packing
 from vitrine.llm.q_native import captions
-from vitrine.plans.fixtures import Registry
+from vitrine.plans.fixtures import Registry, table
 
 R = Registry()
 
@@ -43,3 +43,10 @@ def packed(texts: DataFrame) -> DataFrame:
 @R.add("op3_pack_captions")
 def op3(spark, d):
     return packed(captions(spark, d))
+
+
+@R.add("op1_near_items")
+def op1(spark, d):
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    found = graph_index.near_items(points, points.where("item_id % 100 = 0"))
+    return found.select("query_id", "rank", found.item_id.alias("vec_id"), found.distance.alias("score"))
