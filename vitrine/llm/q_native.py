@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm import licences, mixing, quality
+from vitrine.llm import licences, mixing, quality, revisits
 from vitrine.plans.fixtures import Registry, table
 
 R = Registry()
@@ -103,3 +103,49 @@ def op7(spark, d):
     items = items_of(spark, d).select("item_id", "type", "text")
     mixed = mixing.mix_types(items, even_targets(items), seed=7, caption="text")
     return mixed.select(mixed.item_id.alias("doc_id"), mixed.type.alias("source"), "copy", F.round("shuffle_key", 9).alias("shuffle_key"))
+
+
+CANONICAL = """concat(
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)), '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1'),
+    CASE WHEN rest = '' OR starts_with(rest, '?') THEN '/' ELSE '' END, rest)"""
+VALIDATOR = "regexp_replace({0}, '^W/', '')"
+
+
+def captures(spark, folder: str) -> DataFrame:
+    """Three requests of each page: a response, for some pages a changed one, and a not-modified answer under another spelling of the URL."""
+    pages = table(spark, folder, "pages").select("page_id", "url", F.md5("html").alias("tag"))
+    at = lambda step: F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 50000 + step * 100000)
+    header = lambda **h: F.create_map(*[x for k, v in h.items() for x in (F.lit(k.replace("_", "-")), v)])
+    tag = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    changed, stale, silent = F.col("page_id") % 7 == 0, F.col("page_id") % 5 == 0, F.col("page_id") % 11 == 0
+    new = F.md5(F.concat("tag", F.lit("2")))
+    answer_tag = F.when(stale, tag(F.lit("gone"))).otherwise(F.concat(F.lit("W/"), tag(F.when(changed, new).otherwise(F.col("tag")))))
+    rows = F.array(
+        F.struct(F.lit(0).alias("step"), F.col("url").alias("original_url"), F.lit(200).alias("status"), header(ETag=tag(F.col("tag")), Content_Type=F.lit("text/html"), Age=F.lit("1")).alias("headers")),
+        F.struct(F.lit(1).alias("step"), F.col("url").alias("original_url"), F.when(changed, 200).otherwise(404).alias("status"), header(ETag=tag(new), Content_Type=F.lit("text/plain"), Age=F.lit("2")).alias("headers")),
+        F.struct(F.lit(2).alias("step"), F.concat(F.col("url"), F.lit("#again")).alias("original_url"), F.lit(304).alias("status"), F.map_filter(header(etag=answer_tag, Content_Type=F.lit("none"), Age=F.lit("3")), lambda k, _: ~silent | (k != "etag")).alias("headers")),
+    )
+    each = pages.select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
+    return each.select((F.col("page_id") * 3 + F.col("step")).alias("item_id"), "original_url", at(F.col("step")).alias("downloaded_at"), "status", "headers")
+
+
+@R.add("op9_resolve_revisits", f"""
+WITH p AS (SELECT page_id, url, md5(html) AS tag, page_id % 50000 AS second FROM pages),
+c AS (SELECT page_id * 3 AS item_id, url AS original_url, second AS sec, 200 AS status, '"' || tag || '"' AS etag, 'text/html' AS kind, '1' AS age FROM p
+  UNION ALL SELECT page_id * 3 + 1, url, second + 100000, CASE WHEN page_id % 7 = 0 THEN 200 ELSE 404 END, '"' || md5(tag || '2') || '"', 'text/plain', '2' FROM p
+  UNION ALL SELECT page_id * 3 + 2, url || '#again', second + 200000, 304,
+    CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"gone"' ELSE 'W/"' || CASE WHEN page_id % 7 = 0 THEN md5(tag || '2') ELSE tag END || '"' END, 'none', '3' FROM p),
+b AS (SELECT *, regexp_replace(trim(original_url), '#.*$', '') AS u FROM c),
+r AS (SELECT *, substr(u, length(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1) AS rest FROM b),
+k AS (SELECT item_id, sec, status, etag, kind, age, {CANONICAL} AS canonical_url FROM r),
+f AS (SELECT a.*, (SELECT max((o.sec, o.item_id)) FROM k o WHERE o.status = 200 AND o.canonical_url = a.canonical_url AND o.sec < a.sec) AS last FROM k a),
+j AS (SELECT f.*, o.item_id AS found, o.etag AS their_tag, o.kind AS their_kind FROM f LEFT JOIN k o ON f.status = 304 AND o.item_id = last[2]),
+v AS (SELECT *, CASE WHEN status = 200 THEN 'full' WHEN status <> 304 THEN 'other' WHEN found IS NULL THEN 'no_response'
+        WHEN etag IS NULL THEN 'unverified' WHEN {VALIDATOR.format('etag')} = {VALIDATOR.format('their_tag')} THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+SELECT item_id, canonical_url, CASE outcome WHEN 'resolved' THEN found END AS refers_to, outcome,
+       CASE outcome WHEN 'full' THEN 'age: ' || age || chr(10) || 'content-type: ' || kind || chr(10) || 'etag: ' || etag
+            WHEN 'resolved' THEN 'age: ' || age || chr(10) || 'content-type: ' || their_kind || chr(10) || 'etag: ' || etag END AS merged_headers FROM v""")
+def op9(spark, d):
+    found = revisits.resolve_revisits(captures(spark, d))
+    lines = F.transform(F.array_sort(F.map_entries("merged_headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("item_id", "canonical_url", "refers_to", "outcome", F.array_join(lines, "\n").alias("merged_headers"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm import graph_index, language, near_copies, packing
+from vitrine.llm import graph_index, language, main_text, near_copies, packing, token_counts
 from vitrine.llm.q_native import captions
 from vitrine.plans.fixtures import Registry, table
 
@@ -50,3 +50,16 @@ def op1(spark, d):
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
     found = graph_index.near_items(points, points.where("item_id % 100 = 0"))
     return found.select("query_id", "rank", found.item_id.alias("vec_id"), found.distance.alias("score"))
+
+
+@R.add("op2_main_text")
+def op2(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    return main_text.main_text(pages, main_text.fit_weights(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@R.add("op10_count_tokens")
+def op10(spark, d):
+    texts = captions(spark, d).select("item_id", "caption")
+    counted = token_counts.count_tokens(texts, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select(counted.item_id.alias("doc_id"), "n_tokens")
