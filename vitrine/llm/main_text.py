@@ -232,7 +232,7 @@ def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     """
     read = pages.drop("text", "n_chars")
     at = read.columns.index("html")
-    schema = T.StructType(read.schema.fields).add("text", "string").add("n_chars", "long")
+    schema = T.StructType([*read.schema.fields]).add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

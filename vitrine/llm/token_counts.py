@@ -111,7 +111,7 @@ def count_tokens(captions: DataFrame, vocabulary: str) -> DataFrame:
     """
     read = captions.drop("n_tokens")
     at = read.columns.index("caption")
-    schema = T.StructType(read.schema.fields).add("n_tokens", "long")
+    schema = T.StructType([*read.schema.fields]).add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(vocabulary)
