@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 # A broadcast side is never larger than this, by the sum of its rows' widths.
 BROADCAST_BYTES = 64 << 20
-# Above this many times the limit, the planner's own estimate is enough to say no.
-SURELY_LARGE = 256
+# Above this many times the limit, the planner's own estimate is enough to say no; from UNKNOWN
+# on it is the planner's word for rows it knows nothing about.
+SURELY_LARGE, UNKNOWN = 256, 1 << 60
 # Spark cuts `row_number() <= k` before the shuffle only below this k.
 GROUP_LIMIT = 1000
 # A page ending beyond this row is found by rank: every task would send that many rows to one.
@@ -77,7 +78,7 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     """Whether all rows together take at most `limit` bytes: one sum, combined before the shuffle."""
     limit = BROADCAST_BYTES if limit is None else limit
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > SURELY_LARGE * limit:
+    if SURELY_LARGE * limit < int(str(estimate)) < UNKNOWN:
         return False
     widths = [_width(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields]
     total = df.select(sum(widths, F.lit(0)).alias("_b")).agg(F.sum("_b")).first()[0]
