@@ -110,7 +110,7 @@ def page_events(page: str | None) -> tuple[list[tuple], list[Element]]:
             index = None
             if opened.get(name):
                 index = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name)
-            around = tuple(e for e in stack if e.suspect)
+            around = tuple(e for e in stack if e.suspect)  # still with the element that ends
             events.append(("tag", "/" + key, "", around, content > 0, block))
             if index is not None:
                 close(index)
@@ -173,10 +173,13 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: dict[str, float]) -> str:
     events, _ = page_events(page)
     scores, words = [], []
-    for kind, key, piece, around, _, _ in events:
+    for kind, key, piece, around, *_ in events:
         # character references may stand for white space, so they come first
         words.append(entities.unescape(piece) if kind == "text" and not in_furniture(around) else "")
-        if kind == "tag":
+        if kind == "tag" and in_furniture(around):
+            # its words are left out already: what lies behind it is not to be lost with it
+            scores.append(LEAST_TAG)
+        elif kind == "tag":
             scores.append(weights.get(key, -1.0))
         else:
             scores.append(weights["word " + key] * len(words[-1].split()))

@@ -82,7 +82,7 @@ def mix_types(
     """
     kept = items.drop(*OWN)
     means = repetition_rates(kept, targets, total, size).where("rate > 0")
-    draws = F.ceil(F.col("rate") / CHUNK).cast("int")
+    draws = F.greatest(F.ceil(F.col("rate") / CHUNK).cast("int"), F.lit(1))
     table = means.select(
         _key(F.col("type")).alias("_key"), draws.alias("_draws"), _cumulative(F.col("rate") / draws).alias("_cdf")
     )
