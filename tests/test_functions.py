@@ -12,17 +12,15 @@ def one(spark, value, fn, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(fn(F.col("v"))).first()[0]
 
 
-@pytest.mark.parametrize(
-    "raw,escaped",
-    [
-        ("a/b.c", "a%2Fb%2Ec"),
-        ("100%", "100%25"),
-        ("%2E/.", "%252E%2F%2E"),
-        ("word", "word"),
-    ],
-)
-def test_escape_key(spark, raw, escaped):
-    assert one(spark, raw, keys.escape_key) == escaped
+def test_escape_key_round_trip(spark):
+    """Undoing the escapes gives the key back, and no slash or dot is left in an escaped one."""
+    import itertools
+    from urllib.parse import unquote
+
+    raws = ["".join(c) for n in range(4) for c in itertools.product("%2./x", repeat=n)]
+    df = spark.createDataFrame([(r,) for r in raws], "v string")
+    for raw, escaped in df.select("v", keys.escape_key(F.col("v"))).collect():
+        assert unquote(escaped) == raw and not set(escaped) & set("./")
 
 
 @pytest.mark.parametrize("name", ["", "a", "65f0c0ffee", "ü/x"])
@@ -43,48 +41,59 @@ def test_resolve_path_through_structs_and_maps(spark):
     assert df.select(keys.resolve_path(df, "importantTagProbs.pixai.other")).first()[0] is None
 
 
-RATINGS = [
-    ("Score: [[4]].", 4),
-    ("<think>first [[1]], then [[2]]</think> so [[6]]", 6),
-    ("[[0]] <think>or was it [[8]]</think>", 0),
-    ("<think>\n over\n several lines [[3]]\n</think>\n[[10]]", 10),
-    ("<think>[[1]]</think>[[2]]<think>[[3]]</think>[[4]]", 2),
-    ("<think>only here [[7]]</think>", None),
-    ("[7] and [[ 7 ]]", None),
-    ("[[12345678901234567890]]", None),
-    *[(f"x[[{n}]]y", n) for n in range(11)],
-]
-
-
-def test_ratings(spark):
-    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(RATINGS)], "i int, t string").select("i", text.parse_rating(F.col("t")).alias("r"))
-    assert [r["r"] for r in got.orderBy("i").collect()] == [n for _, n in RATINGS]
-
-
-@pytest.mark.parametrize(
-    "sample,expected",
-    [
-        ("Nothing here is said more than once, not even by chance.", False),
-        ("A red kite rises slowly. " * 9, True),
-        ("ー" * 80, True),
-        (".. " * 25, True),
-        (" ".join(chr(0x3B1 + i) for i in range(24)), False),
-        ("Snow fell on the old stone bridge all night long. " * 2, False),
-        ("tiny", False),
-        ("", False),
-        (None, False),
-        ("one two three four " * 3, False),  # exactly three times and nothing else: outside the start bound
-    ],
-)
-def test_loops(sample, expected):
-    assert text.find_loop(sample)[0] is expected
-
-
-def test_long_outputs():
-    calm = "\n".join(f"Line {i} tells of scene number {i * i} and of nothing else." for i in range(60))
-    assert text.find_loop(calm) == (False, None, 0)
-    found, phrase, times = text.find_loop(calm + " and then they walk on" * 150)
-    assert found and phrase == "and then they walk on" and times == 150
+def test_ratings_outside_think_blocks(spark):
+    """Random answers of plain text, bracketed numbers and think blocks: the first number outside a block counts."""
+    import random
+
+    r, rows = random.Random(12), []
+    for i in range(300):
+        parts, want = [], None
+        for _ in range(r.randint(0, 5)):
+            n, kind = r.choice([r.randint(0, 10), 10 ** r.randint(2, 20)]), r.choice(["text", "number", "think", "near"])
+            if kind == "number":
+                parts.append(f"[[{n}]]")
+                want = n if want is None else want
+            elif kind == "think":
+                parts.append(f"<think>{r.choice(['', chr(10)])}so [[{n}]]{r.choice(['', chr(10), ' [[1]]'])}</think>")
+            else:
+                parts.append(f"[{n}] or [[ {n}]]" if kind == "near" else "words")
+        rows.append((i, r.choice([" ", "", "\n"]).join(parts), want if want is None or want < 2**31 else None))
+    df = spark.createDataFrame([r[:2] for r in rows], "i int, t string")
+    got = {x["i"]: x["r"] for x in df.select("i", text.parse_rating(F.col("t")).alias("r")).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+def distinct_words(n, letters=3):
+    """n different words without a repeated pattern."""
+    return ["".join(chr(97 + (i // 26**k) % 26) for k in range(letters)) + str(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("size,repeats", [(s, t) for s in (2, 3, 4, 49, 50, 51) for t in (1, 2, 3, 4)])
+def test_phrases_on_both_sides_of_the_bounds(size, repeats):
+    """Phrases of 3 to 50 words of at least ten characters, three times or more, and not at the very end of the text."""
+    unit, tail = distinct_words(size, 4), [w.upper() for w in distinct_words(3 * size + 5)]
+    found, phrase, times = text.find_loop(" ".join(unit * repeats + tail))
+    assert found is (3 <= size <= 50 and repeats >= 3)
+    if found:
+        assert (phrase, times) == (" ".join(unit), repeats)
+
+
+@pytest.mark.parametrize("length", [8, 9, 10, 11])
+def test_short_phrases_do_not_count(length):
+    unit = ["x", "y", "z" * (length - 4)]
+    rest = [w.upper() for w in distinct_words(12)]
+    assert text.find_loop(" ".join(unit * 3 + rest))[0] is (length >= 10)
+
+
+@pytest.mark.parametrize("run", [28, 29, 30, 31])
+def test_runs_of_one_character(run):
+    """Texts shorter than thirty characters are not looked at."""
+    assert text.find_loop("#" * run)[0] is (run >= 30)
+
+
+@pytest.mark.parametrize("sample", [None, *["x" * n for n in range(0, 30, 7)]])
+def test_too_little_text_is_no_loop(sample):
+    assert text.find_loop(sample) == (False, None, 0)
 
 
 def slow_repeat(seq, size, repeats):

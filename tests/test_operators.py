@@ -153,6 +153,30 @@ def test_vector_table_round_trip(spark, tmp_path):
     assert sorted((r["item_id"], r["status"], r["norm"]) for r in rows) == [(1, "pending", 5.0), (2, "inferred", 1.0), (3, "inferred", 5.0)]
 
 
+def test_vector_table_loses_and_doubles_nothing(spark, tmp_path):
+    """A null date, a point that changes its date (leaving its partition empty), a key twice in a batch."""
+    kind = "item_id int, date string, type string, status string, vec array<float>"
+    path = str(tmp_path / "points")
+    write = lambda rows: sinks.upsert_vectors(spark.createDataFrame(rows, kind), {"eva02": "vec", "style": "vec"}, path)
+    write([(1, None, "a", "x", [1.0]), (2, None, "a", "x", [1.0]), (4, "2024-01-01", "a", "x", [1.0])])
+    write([(3, None, "a", "x", [1.0])])
+    write([(4, "2024-02-02", "a", "y", [1.0]), (4, "2024-02-02", "a", "y", [1.0]), (None, None, "a", "x", [2.0])])
+    write([(None, "2024-02-02", "a", "z", [2.0])])
+    rows = [(r["item_id"], r["axis"], r["date"] and str(r["date"]), r["status"]) for r in spark.read.parquet(path).collect()]
+    want = [(1, None, "x"), (2, None, "x"), (3, None, "x"), (4, "2024-02-02", "y"), (None, "2024-02-02", "z")]
+    assert sorted(rows, key=str) == sorted([(i, a, d, s) for i, d, s in want for a in ("eva02", "style")], key=str)
+
+
+def test_a_broken_store_is_not_overwritten(spark, tmp_path):
+    path = tmp_path / "points"
+    path.mkdir()
+    (path / "part-0.parquet").write_text("no parquet file")
+    df = spark.createDataFrame([(1, "2024-01-01", "a", "x", [1.0])], "item_id int, date string, type string, status string, vec array<float>")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sinks.upsert_vectors(df, {"eva02": "vec"}, str(path))
+    assert (path / "part-0.parquet").read_text() == "no parquet file"
+
+
 def test_feature_store_grows_once(spark, tmp_path):
     path = str(tmp_path / "store")
     df = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "item_id string, vec array<float>")

@@ -90,7 +90,7 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=[^.])\.[^.]*$", "")
 
 
-def path_to_id(path: Column, root: str, prefix: str = "dmc_") -> Column:
+def path_to_id(path: Column, root: str, prefix: str) -> Column:
     """`prefix + source/stem` below the root, else the stem."""
     parts = F.split(_inside(path, root), "/")
     deep = F.size(parts) >= 2

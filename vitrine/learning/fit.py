@@ -156,7 +156,8 @@ def train_matrix(
             continue
         pi = class_prior(splits, label).first()["pi"]
         train = build_xy(splits, store, dim, "train", label, max_unlabeled)
-        val = build_xy(splits, store, dim, "val", label, max_unlabeled)
+        # only what is fitted on may be capped, never what is measured
+        val = build_xy(splits, store, dim, "val", label)
         names = {"name": name, "feature": feature}
         if method == "nnpu":
             model = fit_nnpu(train, val, pi, **names)

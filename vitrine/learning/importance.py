@@ -16,12 +16,12 @@ def coefficients(spark, models: list[LinearScorer]) -> DataFrame:
     return spark.createDataFrame(rows, "model string, idx int, coef double")
 
 
-def mean_gradients(df: DataFrame, model: LinearScorer, n: int = 2000, seed: int = 42, vec: str = "vec") -> DataFrame:
-    """model, idx, coef: mean derivative of the score with respect to each input over n rows.
+def mean_gradients(df: DataFrame, model: LinearScorer, n: int | None = None, seed: int = 42, vec: str = "vec") -> DataFrame:
+    """model, idx, coef: mean derivative of the score with respect to each input, over all rows.
 
-    The rows are a sampling operator's: the first n of a seeded order.
+    With `n` it samples: the first n rows of a seeded order.
     """
-    picked = top_rows(df.withColumn("_h", seeded_order(seed)), [F.asc("_h"), F.asc("item_id")], n)
+    picked = df if n is None else top_rows(df.withColumn("_h", seeded_order(seed)), [F.asc("_h"), F.asc("item_id")], n)
     slopes = []
     for m in model.members:
         s = 1.0 / (1.0 + F.exp(-(m.slope * linear_maps(F.col(vec), m.weights, m.bias)[0] + m.shift)))

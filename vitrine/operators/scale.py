@@ -94,7 +94,7 @@ def matching(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return big.join(broadcast_if_small(small.select(*keys).distinct()), keys, "left_semi")
 
 
-def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Null-safe equi join on `keys`, keeping the left copy of them."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = F.lit(True)
@@ -157,7 +157,7 @@ def number_rows(
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         ordered = ordered.withColumns({f"_u_{c}": F.sum(c).over(running) for c in sums})
-    placed = _match(ordered, offsets, [*group, "_part"], "inner")
+    placed = null_safe_join(ordered, offsets, [*group, "_part"], "inner")
     placed = placed.withColumn(rank, F.col("_before") + F.col("_seq") - F.col("_first") + 1)
     if total:
         placed = placed.withColumn(total, F.col("_total"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vitrine.functions import bands, keys
+from vitrine.operators.scale import shared_folder
 from vitrine.plans.fixtures import ITEMS, PU_LABELS, Registry, items, pu_labels, table
 from vitrine.sources import landing, sinks
 
@@ -231,6 +234,19 @@ def _(spark, d):
     return points(spark, d).select("item_id", "axis", F.round("norm", 6).alias("norm"), F.size("vec").alias("dim"), "date", "type", "status")
 
 
+@R.add("b4_upsert_vectors", f"""
+WITH {ITEMS} SELECT item_id, 'eva02' AS axis, CASE WHEN item_id % 3 = 0 THEN '2025-01-01' WHEN item_id % 5 = 0 THEN NULL ELSE date END AS date,
+       CASE WHEN item_id % 3 = 0 THEN 'pending' ELSE status END AS status, len(vec) AS dim FROM items""")
+def _(spark, d):
+    """Two writes: everything, some without a date, then a third of it under another date."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    first = items(spark, d).withColumn("date", F.when(F.col("item_id") % 5 > 0, F.col("date")))
+    sinks.upsert_vectors(first, {"eva02": "vec"}, path)
+    moved = first.where("item_id % 3 = 0").withColumns({"date": F.lit("2025-01-01"), "status": F.lit("pending")})
+    sinks.upsert_vectors(moved, {"eva02": "vec"}, path)
+    return spark.read.parquet(path).select("item_id", "axis", F.col("date").cast("string").alias("date"), "status", F.size("vec").alias("dim"))
+
+
 @R.add("b5_replace_by_key", """
 WITH e AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL),
      w AS (SELECT d.source, count(*) AS labelled FROM documents d JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY ALL)
@@ -364,14 +380,14 @@ ELSE '/media/images/' || source || '/' || doc_id || '_p' || (doc_id % 3) || '.jp
 
 @R.add("c6_path_to_id", f"""
 WITH p AS (SELECT doc_id, lang, source, {PATHS} AS path FROM documents)
-SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN CAST(doc_id AS VARCHAR) ELSE 'dmc_' || source || '/' || doc_id || '_p' || (doc_id % 3) END AS item_id,
+SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN CAST(doc_id AS VARCHAR) ELSE 'cat_' || source || '/' || doc_id || '_p' || (doc_id % 3) END AS item_id,
        CASE WHEN lang = 'de' THEN 'unknown' WHEN lang = 'es' THEN doc_id || '.png' ELSE source END AS source,
        CASE WHEN lang NOT IN ('de', 'es') THEN CAST(doc_id AS VARCHAR) END AS artwork_id FROM p""")
 def _(spark, d):
     path, root = F.expr(PATHS), "/media/images"
     return table(spark, d, "documents").select(
         "doc_id",
-        keys.path_to_id(path, root).alias("item_id"),
+        keys.path_to_id(path, root, "cat_").alias("item_id"),
         keys.path_to_source(path, root).alias("source"),
         keys.artwork_id(keys.stem(path)).alias("artwork_id"),
     )

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.operators.scale import broadcast_if_small, is_small, last_per_key, matching, stored
+from vitrine.operators.scale import broadcast_if_small, is_small, last_per_key, matching, null_safe_join, stored
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -49,11 +48,9 @@ def append_features(batch: DataFrame, path: str, feature: str) -> None:
     """Append the (item_id, vec) rows of a feature that its store lacks; a rerun adds nothing."""
     rows = batch.select("item_id", F.col("vec").cast("array<float>").alias("vec"))
     kind = dict(rows.dtypes)["item_id"]
-    try:
+    if exists(batch.sparkSession, path):
         store = batch.sparkSession.read.schema(f"item_id {kind}, feature_name string").parquet(path)
         rows = append_missing(store.where(F.col("feature_name") == feature), rows, ["item_id"])
-    except AnalysisException:  # nothing written yet
-        pass
     rows.withColumn("feature_name", F.lit(feature)).write.partitionBy("feature_name").mode("append").parquet(path)
 
 
@@ -77,11 +74,8 @@ def vector_points(df: DataFrame, axes: dict[str, str]) -> DataFrame:
 
 
 def upsert_vectors(df: DataFrame, axes: dict[str, str], path: str) -> None:
-    """Insert or replace points in a table partitioned by axis and date.
-
-    An item keeps its date for life, so only the partitions of the batch are rewritten.
-    """
-    upsert_partitions(vector_points(df, axes), path, ["item_id"], ["axis", "date"])
+    """Insert or replace points in a table partitioned by axis and date; a point may change its date."""
+    upsert_partitions(vector_points(df, axes), path, ["item_id", "axis"], ["axis", "date"])
 
 
 def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,21 +115,39 @@ def array_union_ref(df: DataFrame, column: str, ref: Column) -> DataFrame:
     return df.withColumn(column, F.array_union(F.coalesce(column, F.array().cast(df.schema[column].dataType)), F.array(ref)))
 
 
-def upsert_partitions(updates: DataFrame, path: str, keys: list[str], by: list[str]) -> None:
-    """Replace rows with equal `keys` in the partitions `updates` touches and add the others.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is stored under `path`; errors of access are raised."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def upsert_partitions(
+    updates: DataFrame, path: str, keys: list[str], by: list[str], order: list[Column] | None = None
+) -> None:
+    """Replace the stored rows with equal `keys`, in whichever partition they lie, and add the others.
 
-    The merged partitions are stored aside first, as a table cannot be read and overwritten
-    at once. A key must stay in its partition.
+    Of several updates with one key the last in `order` counts (without it, the one with the
+    largest values). Null keys and null partitions are values like any other. Only partitions
+    that gain or lose a row are rewritten; their merged rows are stored aside first, as a table
+    cannot be read and overwritten at once. Partitions left without rows are deleted last.
     """
-    updates = stored(updates)
+    others = [c for c in updates.columns if c not in keys]
+    updates = stored(last_per_key(updates, keys, order or [F.col(c) for c in others]))
     spark = updates.sparkSession
-    try:
-        existing = spark.read.schema(updates.schema).parquet(path)
-    except AnalysisException:  # nothing written yet
+    if not exists(spark, path):
         return write_partitions(updates, path, by)
-    touched = broadcast_if_small(updates.select(*by).distinct())
-    kept = existing.join(touched, by, "left_semi").join(updates.select(*by, *keys), [*by, *keys], "left_anti")
-    write_partitions(stored(kept.select(*updates.columns).unionByName(updates)), path, by)
+    existing = spark.read.schema(updates.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    changed = broadcast_if_small(updates.select(*keys))
+    touched = updates.select(*by).union(null_safe_join(existing, changed, keys, "left_semi").select(*by)).distinct()
+    inside = stored(null_safe_join(existing, broadcast_if_small(stored(touched)), by, "left_semi"))
+    kept = null_safe_join(inside, changed, keys, "left_anti").select(*updates.columns)
+    merged = stored(kept.unionByName(updates))
+    # one name per file of a partition that loses its last row
+    gone = null_safe_join(inside, merged.select(*by).distinct(), by, "left_anti").select("_file").distinct().collect()
+    write_partitions(merged, path, by)
+    for row in gone:
+        file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row["_file"])
+        file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, False)
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
