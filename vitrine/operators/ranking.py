@@ -67,7 +67,8 @@ def keyset_page(
 
 
 def top_bottom(df: DataFrame, score: str, k: int, k2: int | None = None, by=()) -> DataFrame:
-    """The k highest and k2 lowest rows per group with ranks from 1 in `side`."""
+    """The k highest and k2 lowest rows per group with ranks from 1 in `side`; rows without a score are left out."""
+    df = df.where(F.col(score).isNotNull())
     high = top_per_group(df, list(by), [F.desc(score), F.asc("item_id")], k)
     low = top_per_group(df, list(by), [F.asc(score), F.asc("item_id")], k2 or k)
     return high.withColumn("side", F.lit("top")).unionByName(low.withColumn("side", F.lit("bottom")))

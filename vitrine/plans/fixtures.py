@@ -17,7 +17,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     number = lambda i: F.col("embedding")[i].cast("double")
     scores = F.create_map(F.lit("score"), number(0)), F.create_map(F.lit("score"), number(1))
     multi = F.create_map(*[x for i, c in enumerate(("c0", "c1", "c2")) for x in (F.lit(c), number(i + 2))])
-    return d.join(e, d.doc_id == e.vec_id).select(
+    return d.join(e, d.doc_id == e.vec_id, "left").select(
         F.col("doc_id").alias("item_id"),
         F.col("source").alias("type"),
         "lang",
@@ -31,7 +31,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("doc_id") % 7 != 0, number(1)).alias("m2_score"),
         F.map_filter(
             F.create_map(F.lit("m1"), scores[0], F.lit("m2"), scores[1], F.lit("multi"), multi),
-            lambda k, _: (k != "m2") | (F.col("doc_id") % 7 != 0),
+            lambda k, _: F.col("embedding").isNotNull() & ((k != "m2") | (F.col("doc_id") % 7 != 0)),
         ).alias("inferences"),
         F.col("embedding").alias("vec"),
         F.col("label").alias("cluster"),
@@ -48,13 +48,13 @@ items AS (
          CAST(e.embedding[1] AS DOUBLE) AS m1_score,
          CASE WHEN d.doc_id % 7 <> 0 THEN CAST(e.embedding[2] AS DOUBLE) END AS m2_score,
          e.embedding AS vec, e.label AS cluster
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
 fields AS (
-  SELECT item_id, status, date, 'm1' AS model, 'score' AS field, m1_score AS value FROM items
+  SELECT item_id, status, date, 'm1' AS model, 'score' AS field, m1_score AS value FROM items WHERE vec IS NOT NULL
   UNION ALL SELECT item_id, status, date, 'm2', 'score', m2_score FROM items WHERE m2_score IS NOT NULL
-  UNION ALL SELECT item_id, status, date, 'multi', 'c0', CAST(vec[3] AS DOUBLE) FROM items
-  UNION ALL SELECT item_id, status, date, 'multi', 'c1', CAST(vec[4] AS DOUBLE) FROM items
-  UNION ALL SELECT item_id, status, date, 'multi', 'c2', CAST(vec[5] AS DOUBLE) FROM items)"""
+  UNION ALL SELECT item_id, status, date, 'multi', 'c0', CAST(vec[3] AS DOUBLE) FROM items WHERE vec IS NOT NULL
+  UNION ALL SELECT item_id, status, date, 'multi', 'c1', CAST(vec[4] AS DOUBLE) FROM items WHERE vec IS NOT NULL
+  UNION ALL SELECT item_id, status, date, 'multi', 'c2', CAST(vec[5] AS DOUBLE) FROM items WHERE vec IS NOT NULL)"""
 
 
 def pu_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,7 +104,7 @@ def scored_sql(step: int | None = None) -> str:
     return f"""
 scored AS (
   SELECT model, item_id, label, rating, artwork_id, {shown} AS score FROM (
-    SELECT 'm1' AS model, item_id, m1_score AS score FROM items
+    SELECT 'm1' AS model, item_id, m1_score AS score FROM items WHERE m1_score IS NOT NULL
     UNION ALL SELECT 'm2', item_id, m2_score FROM items WHERE m2_score IS NOT NULL) JOIN pu USING (item_id))"""
 
 

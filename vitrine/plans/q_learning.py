@@ -346,14 +346,14 @@ SELECT {by}, CAST(sum(wp) AS BIGINT) AS n_pos, CAST(sum(wn) AS BIGINT) AS n_neg,
 
 
 @R.add("l8_auc_one_vs_rest", f"""
-WITH {ITEMS}, {PU_LABELS}, x AS (SELECT 'multi' AS model, item_id, CASE label WHEN 'pos_a' THEN 1 WHEN 'pos_b' THEN 2 ELSE 0 END AS cls, vec FROM items JOIN pu USING (item_id)),
+WITH {ITEMS}, {PU_LABELS}, x AS (SELECT 'multi' AS model, item_id, CASE label WHEN 'pos_a' THEN 1 WHEN 'pos_b' THEN 2 ELSE 0 END AS cls, vec FROM items JOIN pu USING (item_id) WHERE vec IS NOT NULL),
 o AS (SELECT model, 'bookmarked_public' AS class, CAST(vec[4] AS DOUBLE) AS score, CASE WHEN cls = 1 THEN 1 ELSE 0 END AS y FROM x WHERE cls <> 2
   UNION ALL SELECT model, 'bookmarked_private', CAST(vec[5] AS DOUBLE), CASE WHEN cls = 2 THEN 1 ELSE 0 END FROM x WHERE cls <> 1), {auc_sql('o', 'model, class')}""")
 def _(spark, d):
     score = lambda i: F.col("vec")[i].cast("double")
     names = ("not_bookmarked", "bookmarked_public", "bookmarked_private")
     scores = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), score(i + 2))])
-    rows = items(spark, d).join(pu_labels(spark, d).select("item_id", "label"), "item_id")
+    rows = items(spark, d).where("vec IS NOT NULL").join(pu_labels(spark, d).select("item_id", "label"), "item_id")
     rows = rows.select(F.lit("multi").alias("model"), "item_id", "label", scores.alias("class_scores"))
     return metrics.auc_one_vs_rest(rows, mapping={"pos_a": 1, "pos_b": 2, "unlabeled": 0, "not_bookmarked": 0})
 

@@ -71,8 +71,8 @@ def _(spark, d):
 
 @R.add("g5_top_bottom", f"""
 WITH {ITEMS} SELECT * FROM (
-  SELECT item_id, round(m1_score, 6) AS score, row_number() OVER (ORDER BY m1_score DESC, item_id) AS rank, 'top' AS side FROM items
-  UNION ALL SELECT item_id, round(m1_score, 6), row_number() OVER (ORDER BY m1_score, item_id), 'bottom' FROM items)
+  SELECT item_id, round(m1_score, 6) AS score, row_number() OVER (ORDER BY m1_score DESC, item_id) AS rank, 'top' AS side FROM items WHERE m1_score IS NOT NULL
+  UNION ALL SELECT item_id, round(m1_score, 6), row_number() OVER (ORDER BY m1_score, item_id), 'bottom' FROM items WHERE m1_score IS NOT NULL)
 WHERE rank <= CASE side WHEN 'top' THEN 20 ELSE 10 END""")
 def _(spark, d):
     out = G.top_bottom(items(spark, d).select("item_id", F.col("m1_score").alias("score")), "score", 20, 10)
@@ -126,7 +126,7 @@ def _(spark, d):
 WITH {ITEMS}, n AS (SELECT cluster FROM items WHERE status = 'inferred' AND m2_score IS NOT NULL ORDER BY date DESC, item_id LIMIT 1)
 SELECT 'deepdanbooru' AS feature, 'tag' || cluster AS tag FROM n UNION ALL SELECT 'pixai', 'other' || cluster FROM n""")
 def _(spark, d):
-    tag = lambda p: F.create_map(F.concat(F.lit(p), "cluster"), F.col("m1_score"))
+    tag = lambda p: F.when(F.col("cluster").isNotNull(), F.create_map(F.concat(F.lit(p), "cluster"), F.col("m1_score")))
     probs = F.map_filter(F.create_map(F.lit("deepdanbooru"), tag("tag"), F.lit("pixai"), tag("other")), lambda k, _: (k == "pixai") | F.col("m2_score").isNotNull())
     return G.important_tags(items(spark, d).withColumn("important_tag_probs", probs))
 

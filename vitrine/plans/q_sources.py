@@ -197,7 +197,7 @@ def _(spark, d):
 
 
 @R.add("b2_merge_map", f"""
-WITH {ITEMS} SELECT item_id, CASE WHEN m2_score IS NULL THEN 2 ELSE 3 END AS n_models, CAST(file_size AS DOUBLE) AS m1, round(m2_score, 6) AS m2 FROM items""")
+WITH {ITEMS} SELECT item_id, CASE WHEN vec IS NULL THEN 1 WHEN m2_score IS NULL THEN 2 ELSE 3 END AS n_models, CAST(file_size AS DOUBLE) AS m1, round(m2_score, 6) AS m2 FROM items""")
 def _(spark, d):
     new = F.create_map(F.lit("score"), F.col("file_size").cast("double"))
     merged = sinks.merge_map(items(spark, d), "inferences", F.lit("m1"), new)
@@ -225,7 +225,7 @@ points AS (
   SELECT item_id, date, type, status, axis, v, sqrt(list_dot_product(v, v)) AS norm FROM (
     SELECT item_id, date, type, status, a.axis AS axis,
            list_transform(vec[a.lo + 1 : a.hi], lambda x: CAST(x AS DOUBLE)) AS v
-    FROM items, (VALUES ('eva02', 0, 64), ('character', 0, 16), ('situation', 16, 32), ('style', 32, 64)) a(axis, lo, hi)))"""
+    FROM items, (VALUES ('eva02', 0, 64), ('character', 0, 16), ('situation', 16, 32), ('style', 32, 64)) a(axis, lo, hi) WHERE vec IS NOT NULL))"""
 
 
 @R.add("b4_vector_points", f"""
@@ -236,7 +236,7 @@ def _(spark, d):
 
 @R.add("b4_upsert_vectors", f"""
 WITH {ITEMS} SELECT item_id, 'eva02' AS axis, CASE WHEN item_id % 3 = 0 THEN '2025-01-01' WHEN item_id % 5 = 0 THEN NULL ELSE date END AS date,
-       CASE WHEN item_id % 3 = 0 THEN 'pending' ELSE status END AS status, len(vec) AS dim FROM items""")
+       CASE WHEN item_id % 3 = 0 THEN 'pending' ELSE status END AS status, len(vec) AS dim FROM items WHERE vec IS NOT NULL""")
 def _(spark, d):
     """Two writes: everything, some without a date, then a third of it under another date."""
     path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
