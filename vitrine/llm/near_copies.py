@@ -168,9 +168,10 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
             break
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        small_least = large.where("a <> b").groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.where("a <> b").join(small_least, "a")
+        # many neighbours hand a node the same smallest one: once is enough, before anything meets by node
+        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = large.join(small_least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", "m"))
         edges, after = tidy(small)
         if after == state:
