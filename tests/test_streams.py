@@ -84,6 +84,19 @@ def test_ingest_resumes_and_isolates(spark, tmp_path):
     assert spark.read.parquet(out).count() == 10
 
 
+def test_posts_without_a_hash_and_bad_pages_are_kept(spark, tmp_path):
+    land, out, dead = tmp_path / "land", str(tmp_path / "items"), str(tmp_path / "dead")
+    land.mkdir()
+    (land / "0.json").write_text(page(0, range(6)) + "\n" + json.dumps({"page": 1, "status": 500, "body": "busy"}))
+    hashes = spark.createDataFrame([(f"https://x/{i}.jpg", f"h{i}" if i != 3 else None) for i in range(4)], "url string, sha256 string")
+    empty = spark.createDataFrame([], "type string, post_id long, key string, sha256 string")
+    start = lambda: ingest.ingest_stream(spark, str(land), "danbooru", lambda: empty, hashes.where("sha256 IS NOT NULL"), out, str(tmp_path / "cp"), dead)
+    assert ingest.ingest_all({"danbooru": start}) == {"danbooru": None}
+    assert sorted(r["post_id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+    assert sorted(r["post_id"] for r in spark.read.parquet(f"{dead}/posts").collect()) == [3, 4, 5]
+    assert [r["status"] for r in spark.read.parquet(f"{dead}/pages").collect()] == [500]
+
+
 def test_rank_table_replaces_only_its_dates(spark, tmp_path):
     def items(rows):
         return spark.createDataFrame([(i, d, "inferred", {"m": {"score": s}}) for i, d, s in rows], "item_id long, date string, status string, inferences map<string,map<string,double>>")

@@ -16,34 +16,50 @@ from vitrine.operators.joins import anti_existing
 from vitrine.operators.ranking import score_ranks
 from vitrine.operators.scale import first_per_key, matching
 from vitrine.operators.scale import stored as written
-from vitrine.sources.landing import PAGE_SCHEMA, posts_of_pages
+from vitrine.sources.landing import PAGE_SCHEMA, posts_of_pages, rejected_pages
 
 log = logging.getLogger(__name__)
 
 
+def fresh_posts(pages: DataFrame, provider: str, stored: DataFrame) -> DataFrame:
+    """Posts of landed pages that have a key and are not stored yet, each once."""
+    posts = posts_of_pages(pages, provider)
+    posts = posts.withColumn("key", item_key(provider, F.col("post_id"), F.col("url"))).where("key IS NOT NULL")
+    posts = written(first_per_key(posts, ["type", "post_id"], [F.col("page"), F.col("index")]))
+    return anti_existing(posts, stored, ["type", "post_id"])
+
+
+def hashed_items(fresh: DataFrame, stored: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Fresh posts as items: checked for equal content, pending or deduped; those without a hash are left out."""
+    fresh = fresh.join(matching(hashes.select("url", "sha256"), fresh, ["url"]), "url").withColumn("local_path", F.concat(F.lit("/media/"), "key"))
+    fresh = written(fresh.select("type", "post_id", "key", "url", "sha256", "local_path"))
+    return flag_duplicates(fresh, stored).select("type", "post_id", "key", "url", "sha256", "status", "local_path")
+
+
+def unhashed_posts(fresh: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Fresh posts whose content is not known yet: type, post_id, key, url."""
+    known = matching(hashes.where("sha256 IS NOT NULL").select("url"), fresh, ["url"])
+    return fresh.join(known, "url", "left_anti").select("type", "post_id", "key", "url")
+
+
 def new_items(pages: DataFrame, provider: str, stored: DataFrame, hashes: DataFrame) -> DataFrame:
     """Items of landed pages that are not stored: keyed, checked for equal content, pending or deduped.
 
     `hashes` gives sha256 by url, `stored` the items so far (type, post_id, key, sha256). The
     posts, and then the new ones with their hashes, are written, as several joins start from them.
     """
-    posts = posts_of_pages(pages, provider)
-    posts = posts.withColumn("key", item_key(provider, F.col("post_id"), F.col("url"))).where("key IS NOT NULL")
-    posts = first_per_key(posts, ["type", "post_id"], [F.col("page"), F.col("index")])
-    posts = written(posts)
-    fresh = anti_existing(posts, stored, ["type", "post_id"])
-    fresh = fresh.join(matching(hashes.select("url", "sha256"), fresh, ["url"]), "url").withColumn("local_path", F.concat(F.lit("/media/"), "key"))
-    fresh = written(fresh.select("type", "post_id", "key", "url", "sha256", "local_path"))
-    return flag_duplicates(fresh, stored).select("type", "post_id", "key", "url", "sha256", "status", "local_path")
+    return hashed_items(fresh_posts(pages, provider, stored), stored, hashes)
 
 
 def ingest_stream(
-    spark: SparkSession, landing: str, provider: str, read_stored: Callable[[], DataFrame], hashes: DataFrame, target: str, checkpoint: str
+    spark: SparkSession, landing: str, provider: str, read_stored: Callable[[], DataFrame], hashes: DataFrame, target: str, checkpoint: str, dead: str | None = None
 ) -> StreamingQuery:
     """Take the pages that landed since the last run; a file is read once, also after a restart.
 
     Each batch writes `target/type=<provider>/batch=<id>`, so a replay replaces itself. The
-    stored items are asked for anew in every batch.
+    stored items are asked for anew in every batch. As a file is never read again, what cannot
+    become an item is kept: posts without a hash under `dead/posts`, rejected pages under
+    `dead/pages`, in the same partitions.
     """
 
     def write(pages: DataFrame, batch: int) -> None:
@@ -51,8 +67,12 @@ def ingest_stream(
         if "batch" in stored.columns:
             # a replayed batch must not find its own earlier output
             stored = stored.where((F.col("type") != provider) | (F.col("batch") != batch) | F.col("batch").isNull())
-        rows = new_items(pages, provider, stored, hashes)
-        rows.drop("type").write.mode("overwrite").parquet(f"{target}/type={provider}/batch={batch}")
+        at = f"type={provider}/batch={batch}"
+        fresh = fresh_posts(pages, provider, stored)
+        if dead:
+            unhashed_posts(fresh, hashes).drop("type").write.mode("overwrite").parquet(f"{dead}/posts/{at}")
+            rejected_pages(pages, provider).write.mode("overwrite").parquet(f"{dead}/pages/{at}")
+        hashed_items(fresh, stored, hashes).drop("type").write.mode("overwrite").parquet(f"{target}/{at}")
 
     return (
         spark.readStream.schema(PAGE_SCHEMA)
