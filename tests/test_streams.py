@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from vitrine.operators.aggregates import provider_stats
+from vitrine.sources import landing
 from vitrine.streaming import changes, ingest
 
 SCHEMA = "before map<string,double>, after map<string,double>, changed_at timestamp"
@@ -106,3 +107,61 @@ def test_rank_table_replaces_only_its_dates(spark, tmp_path):
     ingest.refresh_ranks(items([(1, "2024-01-01", 0.9), (2, "2024-01-01", 0.2)]), path)
     got = {r["item_id"]: (r["rank"], r["total"]) for r in spark.read.parquet(path).collect()}
     assert got == {1: (1, 2), 2: (2, 2), 3: (1, 1)}
+
+
+def artwork_page(number, works):
+    posts = [{"illust_id": i, "illust_page_count": str(n), "url": "https://x/thumb.jpg"} for i, n in works]
+    return json.dumps({"page": number, "status": 200, "mode": "daily", "body": json.dumps({"contents": posts, "date": "20240105"})})
+
+
+def test_artworks_give_an_item_per_page_and_rankings_are_upserted(spark, tmp_path):
+    land, out = tmp_path / "land", str(tmp_path / "items")
+    dead, rankings = str(tmp_path / "dead"), str(tmp_path / "rankings")
+    land.mkdir()
+    (land / "0.json").write_text(artwork_page(0, [(7, 3), (8, 1), (9, 0)]) + "\n" + artwork_page(1, [(7, 3)]))
+    files = {7: ["7_p0.jpg", "7_p1.webp"], 8: ["8_p0.png"]}
+    artworks = spark.createDataFrame(
+        [(i, [{"urls": {"original": f"https://i/{n}"}} for n in names]) for i, names in files.items()],
+        "post_id long, pages array<struct<urls:struct<original:string>>>",
+    )
+    hashes = spark.createDataFrame([(f"https://i/{n}", n, 10, "image/x") for v in files.values() for n in v], "url string, sha256 string, file_size long, content_type string")
+    stored = spark.createDataFrame([("pixiv", 7, 0, "pixiv/7_p0.jpg", "7_p0.jpg")], "type string, post_id long, artwork_page int, key string, sha256 string")
+    start = lambda: ingest.ingest_stream(spark, str(land), "pixiv", lambda: stored, hashes, out, str(tmp_path / "cp"), dead, artworks, rankings)
+    assert ingest.ingest_all({"pixiv": start}) == {"pixiv": None}
+    got = {r["key"]: r for r in spark.read.parquet(out).collect()}
+    assert sorted(got) == ["pixiv/7_p1.webp", "pixiv/8_p0.png"]
+    one = got["pixiv/7_p1.webp"]
+    assert (one["artwork_page"], one["status"], one["date"], one["file_size"], one["width"]) == (1, "pending", "2024-01-05", 10, None)
+    assert set(one["metadata"]) == {"pixiv", "pixivRanking"} and one["downloaded_at"] is not None
+    lost = sorted((r["post_id"], r["artwork_page"]) for r in spark.read.parquet(f"{dead}/posts").collect())
+    assert lost == [(7, 2), (9, 0)]
+    (land / "1.json").write_text(artwork_page(5, [(8, 1)]))
+    assert ingest.ingest_all({"pixiv": start}) == {"pixiv": None}
+    places = {r["key"]: r["page"] for r in spark.read.parquet(f"{rankings}/pixiv").collect()}
+    assert places == {"20240105-daily-7": 1, "20240105-daily-8": 5, "20240105-daily-9": 0}
+
+
+def test_dates_of_every_provider(spark):
+    row = spark.createDataFrame([("20240105", "2024-01-05", "1704466800", "Fri Jan 05 20:00:00 -0600 2024", "x")], "a string, b string, c string, d string, e string")
+    date = lambda p, a, c: landing.post_date(p, F.col(a), F.col(c))
+    got = row.select(date("pixiv", "a", "e"), date("danbooru", "b", "e"), date("sankaku", "e", "c"), date("gelbooru", "e", "d"), date("gelbooru", "e", "e"), date("danbooru", "e", "e"))
+    assert tuple(got.first()) == ("2024-01-05", "2024-01-05", "2024-01-06", "2024-01-06", None, None)
+
+
+def test_a_failed_item_is_offered_again_and_results_are_stored(spark, tmp_path):
+    path = str(tmp_path / "items")
+    rows = [(1, "pending", "a"), (2, "pending", "b"), (3, "inferred", "c"), (4, "pending", None)]
+    items = spark.createDataFrame([(i, s, p, {"old": i / 1.0}, f"2024-01-0{i}") for i, s, p in rows], "item_id long, status string, local_path string, inferences map<string,double>, date string")
+    items.write.partitionBy("date").parquet(path)
+
+    def job(fail):
+        bad = F.col("item_id").isin(fail)
+        result = F.when(~bad, F.create_map(F.lit("new"), F.lit(1.0)))
+        return lambda todo: todo.select("item_id", F.when(bad, "error").otherwise("inferred").alias("status"), result.alias("inferences"))
+
+    assert ingest.score_backlog(spark, path, job([2])).count() == 2
+    read = lambda: {r["item_id"]: (r["status"], r["inferences"]) for r in spark.read.parquet(path).collect()}
+    assert read() == {1: ("inferred", {"new": 1.0}), 2: ("error", {"old": 2.0}), 3: ("inferred", {"old": 3.0}), 4: ("pending", {"old": 4.0})}
+    assert [r["item_id"] for r in ingest.score_backlog(spark, path, job([])).collect()] == [2]
+    assert read()[2] == ("inferred", {"new": 1.0})
+    assert ingest.score_backlog(spark, path, job([])).count() == 0 and len(read()) == 4

@@ -57,7 +57,12 @@ def https(url: Column) -> Column:
 
 
 def item_key(provider: str, post_id: Column, url: Column) -> Column:
-    """`provider/id.ext`, null unless the extension is allowed; sankaku ignores the query part."""
+    """`provider/id.ext`, null unless the extension is allowed; sankaku ignores the query part.
+
+    A pixiv post has a file per page, so its key is the file's own name, whatever the extension.
+    """
+    if provider == "pixiv":
+        return F.concat(F.lit("pixiv/"), F.nullif(F.regexp_extract(url, r"([^/]*)/*$", 1), F.lit("")))
     loose = provider == "sankaku"
     ext = extension(F.parse_url(https(url), F.lit("PATH")) if loose else url)
     allowed = V.POST_EXTENSIONS_WEBP if loose else V.POST_EXTENSIONS

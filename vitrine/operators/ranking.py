@@ -26,12 +26,25 @@ def score_ranks(items: DataFrame) -> DataFrame:
     return number_rows(rows, ["date", "model", "field"], [F.desc("value"), F.asc("item_id")], "rank", "total")
 
 
-def item_ranks(items: DataFrame, ranks: DataFrame, item_id) -> DataFrame:
-    """All fields of one item with rank and total; items that are not ranked get a null rank."""
-    one = explode_fields(items.where(F.col("item_id") == item_id))
-    totals = ranks.groupBy("date", "model", "field").agg(F.max("total").alias("total"))
-    mine = ranks.where(F.col("item_id") == item_id).select("date", "model", "field", "rank")
-    return one.join(mine, ["date", "model", "field"], "left").join(totals, ["date", "model", "field"], "left")
+def item_ranks(items: DataFrame, item_id) -> DataFrame:
+    """All fields of one item with rank and total among its date; an item that is not ranked gets a null rank.
+
+    Nothing is sorted: the item's few scores are broadcast to the scan of its date, and the rows
+    before each are counted. A date held as a partition is pruned by the item's.
+    """
+    mine = items.where(F.col("item_id") == item_id)
+    one = explode_fields(mine, keep=["item_id", "date"])
+    ranked = filter_items(items).where(F.col("date") == mine.agg(F.max("date")).scalar())
+    asked = F.broadcast(one.select("model", "field", F.col("value").alias("_v")).distinct())
+    before = (F.col("value") > F.col("_v")) | ((F.col("value") == F.col("_v")) & (F.col("item_id") < item_id))
+    counts = explode_fields(ranked, keep=["item_id"]).join(asked, ["model", "field"]).groupBy("model", "field").agg(
+        F.count_if(before).alias("_before"), F.count("*").alias("total"), F.max(F.col("item_id") == item_id).alias("_in")
+    )
+    return (
+        one.join(F.broadcast(counts), ["model", "field"], "left")
+        .withColumn("rank", F.when(F.col("_in"), F.col("_before") + 1))
+        .drop("_before", "_in")
+    )
 
 
 def top_items(items: DataFrame, date: str, path: str, cursor: float | None = None, k: int = V.TOP_ITEMS) -> DataFrame:
@@ -52,7 +65,7 @@ def page_items(
     value = resolve_path(items, path)
     rows = filter_items(items, **filters).where(value.isNotNull()).withColumn("value", value)
     order = F.asc("value") if direction == "asc" else F.desc("value")
-    return top_rows(rows, [order, F.asc("item_id")], limit, page * limit), rows.agg(F.count("*").alias("total"))
+    return top_rows(rows, [order, F.asc("item_id")], limit, page * limit, narrow=["item_id", "value"]), rows.agg(F.count("*").alias("total"))
 
 
 def keyset_page(

@@ -190,12 +190,18 @@ def top_per_group(
     return first(df, group)
 
 
-def top_rows(df: DataFrame, order: list[Column], k: int, skip: int = 0) -> DataFrame:
-    """`k` rows after the first `skip`; a deep page is found by rank, not by sorting on the driver."""
+def top_rows(df: DataFrame, order: list[Column], k: int, skip: int = 0, narrow: list[str] | None = None) -> DataFrame:
+    """`k` rows after the first `skip`; a deep page is found by rank, not by sorting on the driver.
+
+    `narrow` names the columns that `order` reads, a unique key first. Then only these are ranked
+    and stored, and the k keys of the page pick its rows.
+    """
     if skip + k <= SHALLOW:
         return df.orderBy(*order).offset(skip).limit(k)
-    ranked = number_rows(df, [], order, "_rank")
-    return ranked.where(F.col("_rank").between(skip + 1, skip + k)).orderBy("_rank").drop("_rank")
+    ranked = number_rows(df.select(*narrow) if narrow else df, [], order, "_rank").where(F.col("_rank").between(skip + 1, skip + k))
+    if narrow:
+        ranked = df.join(F.broadcast(ranked.select(narrow[0], "_rank")) if k <= SHALLOW else ranked.select(narrow[0], "_rank"), narrow[0])
+    return ranked.orderBy("_rank").select(*df.columns)
 
 
 def seeded_order(seed: int, key: str = "item_id") -> Column:

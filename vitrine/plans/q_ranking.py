@@ -30,7 +30,7 @@ SELECT f.item_id, f.model, f.field, r.rank, t.total FROM fields f LEFT JOIN rank
 LEFT JOIN t ON t.date = f.date AND t.model = f.model AND t.field = f.field WHERE f.item_id = 22""")
 def _(spark, d):
     i = items(spark, d)
-    return G.rank_of_fields(G.item_ranks(i, G.score_ranks(i), 22)).select("item_id", "model", "field", "rank", "total")
+    return G.rank_of_fields(G.item_ranks(i, 22)).select("item_id", "model", "field", "rank", "total")
 
 
 @R.add("g2_top_items", f"""
@@ -58,7 +58,7 @@ SELECT event_id AS item_id, value FROM events ORDER BY value DESC, event_id LIMI
 def _(spark, d):
     # deep enough to be found by rank
     rows = table(spark, d, "events").select(F.col("event_id").alias("item_id"), "value")
-    return top_rows(rows, [F.desc("value"), F.asc("item_id")], 200, 9900)
+    return top_rows(rows, [F.desc("value"), F.asc("item_id")], 200, 9900, narrow=["item_id", "value"])
 
 
 @R.add("g4_keyset_page", f"""

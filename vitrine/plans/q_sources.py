@@ -39,6 +39,68 @@ def _(spark, d):
     return landing.posts_of_pages(landed(spark, d), "danbooru").select("post_id", "url", "page", "index")
 
 
+PLACED = """p AS (SELECT event_id, event_type, ts, value, event_id // 50 AS page,
+       first_value(event_type) OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS f,
+       row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) - 1 AS i FROM events)"""
+
+
+def landed_as(spark, d, provider):
+    """The landed pages in the layout of another provider."""
+    pages = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 50).cast("int").alias("page"))
+    at = F.col("ts").cast("timestamp")
+    url = F.concat(F.lit("https://cdn.example/"), "event_type", F.lit("/"), "event_id", F.lit(".jpg?1"))
+    post = {
+        "gelbooru": F.struct(F.col("event_id").alias("id"), url.alias("file_url"), F.date_format(at, "EEE MMM dd HH:mm:ss Z yyyy").alias("created_at")),
+        "sankaku": F.struct(F.col("event_id").alias("id"), url.alias("file_url"), F.struct(F.unix_timestamp(at).alias("s")).alias("created_at")),
+        "pixiv": F.struct(F.col("event_id").alias("illust_id"), url.alias("url"), (F.col("event_id") % 3).cast("string").alias("illust_page_count")),
+    }[provider]
+    posts = pages.agg(F.array_sort(F.collect_list(post)).alias("posts"), F.min_by("event_type", "event_id").alias("first"))
+    body = {"gelbooru": F.struct(F.col("posts").alias("post")), "sankaku": F.struct(F.col("posts").alias("data"))}.get(
+        provider, F.struct(F.col("posts").alias("contents"), F.date_format(F.date_add(F.lit("2024-01-01"), F.col("page") % 28), "yyyyMMdd").alias("date"))
+    )
+    return posts.select(
+        "page", F.when(F.col("first") == "error", 500).otherwise(200).alias("status"), F.to_json(body).alias("body"), F.lit("daily").alias("mode")
+    )
+
+
+def dated_posts(spark, d, provider):
+    posts = landing.posts_of_pages(landed_as(spark, d, provider), provider)
+    date = landing.post_date(provider, F.col("asked"), F.col("created_at"))
+    return posts.select("post_id", "page", "index", date.alias("date"), keys.item_key(provider, F.col("post_id"), F.col("url")).alias("key"))
+
+
+BORN = "strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d')"
+
+
+@R.add("a1_read_gelbooru", f"""
+WITH {PLACED} SELECT event_id AS post_id, page, i AS "index", {BORN} AS date, CAST(NULL AS VARCHAR) AS key FROM p WHERE f <> 'error'""")
+def _(spark, d):
+    return dated_posts(spark, d, "gelbooru")
+
+
+@R.add("a1_read_sankaku", f"""
+WITH {PLACED} SELECT event_id AS post_id, page, i AS "index", {BORN} AS date, 'sankaku/' || event_id || '.jpg' AS key FROM p WHERE f <> 'error'""")
+def _(spark, d):
+    return dated_posts(spark, d, "sankaku")
+
+
+def artworks(spark, d):
+    """Files of the events as artworks: one of two, so that some posts name more than there are."""
+    file = lambda n: F.struct(F.struct(F.concat(F.lit("https://i.example/"), "event_id", F.lit(f"_p{n}.png")).alias("original")).alias("urls"))
+    return table(spark, d, "events").where("event_type <> 'click'").select(F.col("event_id").alias("post_id"), F.array(file(0)).alias("pages"))
+
+
+@R.add("a1_artwork_pages", f"""
+WITH {PLACED}, n AS (SELECT *, unnest(range(greatest(event_id % 3, 1))) AS k FROM p WHERE f <> 'error')
+SELECT event_id AS post_id, CAST(k AS INT) AS artwork_page, strftime(DATE '2024-01-01' + CAST(page % 28 AS INT), '%Y-%m-%d') AS date,
+       CASE WHEN k = 0 AND event_type <> 'click' THEN 'pixiv/' || event_id || '_p0.png' END AS key FROM n""")
+def _(spark, d):
+    posts = landing.posts_of_pages(landed_as(spark, d, "pixiv"), "pixiv")
+    date = landing.post_date("pixiv", F.col("asked"), F.col("created_at")).alias("date")
+    key = keys.item_key("pixiv", F.col("post_id"), F.col("url")).alias("key")
+    return landing.expand_pages(posts, artworks(spark, d)).select("post_id", "artwork_page", date, key)
+
+
 @R.add("a1_rejected_pages", """
 SELECT event_id // 50 AS page FROM events GROUP BY 1 HAVING arg_min(event_type, event_id) = 'error'""")
 def _(spark, d):
@@ -58,10 +120,17 @@ def _(spark, d):
     return landing.media_files(paths, "archive", bare_names=True)
 
 
-@R.add("a2_scan_folder")
+@R.add("a2_scan_folder", """
+SELECT source, sum(strlen(text) + 1) AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY source""")
 def _(spark, d):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    # the texts as files, a line feed after each; files of other kinds lie beside them
+    out = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    docs.select("source", "text").write.partitionBy("source").text(f"{out}/texts")
+    docs.select("doc_id", "source").write.partitionBy("source").csv(f"{out}/others")
+    files = landing.scan_media(spark, out, "archive", extensions=[".txt"])
+    source = F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")
+    return files.groupBy(source).agg(F.sum("length").alias("n_bytes"))
 
 
 @R.add("a3_manual_labels", f"""

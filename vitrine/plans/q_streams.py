@@ -12,7 +12,7 @@ from vitrine.learning.models import LinearScorer, Member
 from vitrine.operators.scale import shared_folder
 from vitrine.plans.fixtures import ITEMS, Registry, items, table
 from vitrine.plans.q_ranking import RANKED
-from vitrine.plans.q_sources import landed
+from vitrine.plans.q_sources import PLACED, artworks, landed, landed_as
 from vitrine.streaming import changes, ingest
 
 R = Registry()
@@ -84,6 +84,57 @@ def _(spark, d):
     return spark.read.parquet(f"{out}/items").select("post_id", "key", "status")
 
 
+@R.add("m2_ingest_artworks", f"""
+WITH {PLACED}, n AS (SELECT event_id, page, 'pixiv/' || event_id || '_p0.png' AS key, sha256(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS sha
+  FROM p WHERE f <> 'error' AND event_type <> 'click')
+SELECT event_id AS post_id, key, strftime(DATE '2024-01-01' + CAST(page % 28 AS INT), '%Y-%m-%d') AS date,
+       CASE WHEN row_number() OVER (PARTITION BY sha ORDER BY key) > 1 THEN 'deduped' ELSE 'pending' END AS status FROM n""")
+def _(spark, d):
+    out = folder(spark)
+    landed_as(spark, d, "pixiv").write.json(f"{out}/landing")
+    digest = F.sha2(F.round(F.col("value") * 100).cast("long").cast("string"), 256).alias("sha256")
+    url = F.concat(F.lit("https://i.example/"), "event_id", F.lit("_p0.png")).alias("url")
+    hashes = table(spark, d, "events").select(url, digest)
+    none = spark.createDataFrame([], "type string, post_id long, artwork_page int, key string, sha256 string")
+    start = lambda works: lambda: ingest.ingest_stream(
+        spark, f"{out}/landing", "pixiv", lambda: none, hashes, f"{out}/items", f"{out}/checkpoint-{works is None}", f"{out}/dead", works, f"{out}/rankings"
+    )
+    # a source whose artworks are not known fails, the other goes on
+    outcome = ingest.ingest_all({"failing": start(None), "pixiv": start(artworks(spark, d))})
+    if outcome["pixiv"] is not None or outcome["failing"] is None:
+        raise RuntimeError(str(outcome))
+    return spark.read.schema("post_id long, key string, date string, status string").parquet(f"{out}/items").select("post_id", "key", "date", "status")
+
+
+@R.add("m2_rankings", f"""
+WITH {PLACED} SELECT strftime(DATE '2024-01-01' + CAST(page % 28 AS INT), '%Y%m%d') || '-daily-' || event_id AS key, page, i AS "index" FROM p WHERE f <> 'error'""")
+def _(spark, d):
+    return ingest.ranking_entries(landed_as(spark, d, "pixiv"), "pixiv").select("key", "page", "index")
+
+
+@R.add("m3_score_backlog", """
+SELECT doc_id AS item_id, CASE WHEN text IS NULL OR (lang = 'de' AND doc_id % 10 = 0) THEN 'error' ELSE 'inferred' END AS status,
+       text IS NOT NULL AND NOT coalesce(lang = 'de' AND doc_id % 10 = 0, false) AS scored FROM documents""")
+def _(spark, d):
+    out = folder(spark)
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("/media/"), "doc_id").alias("path")
+    scorer = LinearScorer("flat", "hist", "centroid", [Member([0.1] * 16, 0.0)])
+
+    def job(readable):
+        files = docs.select(path, F.when(F.expr(readable), F.encode("text", "UTF-8")).alias("content"))
+        return lambda todo: inference_job(todo, files, byte_histogram, {"vec": "array<float>"}, [scorer], {"hist": "vec"})
+
+    date = F.expr("date_format(date_add(DATE'2024-01-01', CAST(doc_id % 7 AS INT)), 'yyyy-MM-dd')").alias("date")
+    empty = F.lit(None).cast("map<string,map<string,double>>").alias("inferences")
+    items = docs.select(F.col("doc_id").alias("item_id"), F.lit("pending").alias("status"), path.alias("local_path"), empty, date)
+    items.write.partitionBy("date").parquet(f"{out}/items")
+    # what fails in the first run is offered again in the second
+    for readable in ("coalesce(lang, '') <> 'de'", "coalesce(lang, '') <> 'de' OR doc_id % 10 <> 0"):
+        ingest.score_backlog(spark, f"{out}/items", job(readable))
+    return spark.read.parquet(f"{out}/items").select("item_id", "status", F.col("inferences").isNotNull().alias("scored"))
+
+
 @R.add("m3_pending_stream", """
 SELECT doc_id AS item_id, CASE WHEN lang = 'de' THEN 'error' ELSE 'inferred' END AS status FROM documents WHERE source IN ('src1', 'src2')""")
 def _(spark, d):

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine import values as V
+from vitrine.functions.keys import bucket_date
+from vitrine.operators.scale import matching
 
-PAGE_SCHEMA = "page INT, status INT, body STRING"
+# `date` and `mode` are what a ranking page was asked for.
+PAGE_SCHEMA = "page INT, status INT, body STRING, date STRING, mode STRING"
 
 # Where each provider keeps its posts, and the fields read from a post.
 PAGE_LAYOUT = {
@@ -17,6 +20,10 @@ PAGE_LAYOUT = {
     "sankaku": ("$.data", "$.id", "$.file_url", "$.created_at.s"),
     "pixiv": ("$.contents", "$.illust_id", "$.url", "$.date"),
 }
+# Providers dated by the ranking asked for, and those whose posts have several files.
+RANKED = ("danbooru", "pixiv")
+PAGED = ("pixiv",)
+PAGE_COUNT = "$.illust_page_count"
 
 
 def landed_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -25,14 +32,19 @@ def landed_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def posts_of_pages(pages: DataFrame, provider: str) -> DataFrame:
-    """One row per post with page number and position; failed and empty pages give none."""
+    """One row per post with page number and position; failed and empty pages give none.
+
+    `asked` and `mode` are the day and kind of the ranking, null where the page tells neither.
+    """
     where, key, url, created = PAGE_LAYOUT[provider]
     body = F.col("body") if where == "$" else F.get_json_object("body", where)
+    given = lambda c: F.col(c) if c in pages.columns else F.lit(None).cast("string")
+    asked = given("date") if where == "$" else F.coalesce(F.get_json_object("body", "$.date"), given("date"))
     posts = F.from_json(body, "array<string>")
     field = lambda p: F.get_json_object("post", p)
     return (
         pages.where("status = 200")
-        .select("page", F.posexplode(posts).alias("index", "post"))
+        .select("page", asked.alias("asked"), given("mode").alias("mode"), F.posexplode(posts).alias("index", "post"))
         .select(
             F.lit(provider).alias("type"),
             field(key).cast("long").alias("post_id"),
@@ -40,11 +52,37 @@ def posts_of_pages(pages: DataFrame, provider: str) -> DataFrame:
             field(created).alias("created_at"),
             "page",
             "index",
+            "asked",
+            "mode",
             "post",
         )
     )
 
 
+def post_date(provider: str, asked: Column, created: Column) -> Column:
+    """Calendar date of a post as text: the ranking's day, or the day it was made in the provider's zone."""
+    if provider in RANKED:
+        return F.date_format(F.coalesce(F.try_to_timestamp(asked, F.lit("yyyyMMdd")), asked.try_cast("timestamp")), "yyyy-MM-dd")
+    if provider == "sankaku":
+        return bucket_date(F.timestamp_seconds(created.try_cast("long")))
+    # a text with its weekday first, or any form Spark casts
+    named = F.try_to_timestamp(F.regexp_replace(created, r"^\p{L}{3} ", ""), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    return bucket_date(F.coalesce(named, created.try_cast("timestamp")))
+
+
+def expand_pages(posts: DataFrame, artworks: DataFrame) -> DataFrame:
+    """One row per file of posts with several: `artwork_page` from 0 and its own `url`.
+
+    `artworks` holds post_id and pages (array of {urls: {original}}), one row per post. As many
+    rows come as the post says it has files, one at least; a file the pages do not name has a
+    null url.
+    """
+    count = F.greatest(F.coalesce(F.get_json_object("post", PAGE_COUNT).try_cast("int"), F.lit(1)), F.lit(1))
+    known = matching(artworks.select("post_id", "pages"), posts, ["post_id"])
+    rows = posts.join(known, "post_id", "left").withColumn("artwork_page", F.explode(F.sequence(F.lit(0), count - 1)))
+    return rows.withColumn("url", F.get("pages", F.col("artwork_page"))["urls"]["original"]).drop("pages")
+
+
 def rejected_pages(pages: DataFrame, provider: str) -> DataFrame:
     """Pages that are not usable: bad status, no JSON or no posts."""
     where = PAGE_LAYOUT[provider][0]
@@ -57,20 +95,22 @@ def read_posts(spark: SparkSession, path: str, provider: str) -> DataFrame:
     return posts_of_pages(landed_pages(spark, path), provider)
 
 
-def media_files(listing: DataFrame, prefix: str, bare_names: bool = False) -> DataFrame:
+def media_files(listing: DataFrame, prefix: str, bare_names: bool = False, extensions=V.MEDIA_EXTENSIONS) -> DataFrame:
     """Media among listed files (`path`, ...): extension allowed in any case, id `prefix/stem`."""
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)$", 1))
-    wanted = ext.isin(V.MEDIA_EXTENSIONS) | ((ext == "") if bare_names else F.lit(False))
+    wanted = ext.isin(list(extensions)) | ((ext == "") if bare_names else F.lit(False))
     return listing.where(wanted).withColumn(
         "item_id", F.concat(F.lit(prefix + "/"), F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", ""))
     )
 
 
-def scan_media(spark: SparkSession, folder: str, prefix: str, bare_names: bool = False) -> DataFrame:
+def scan_media(
+    spark: SparkSession, folder: str, prefix: str, bare_names: bool = False, extensions=V.MEDIA_EXTENSIONS
+) -> DataFrame:
     """Files below `folder`; contents are read only if `content` is selected later."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return media_files(files, prefix, bare_names)
+    return media_files(files, prefix, bare_names, extensions)
 
 
 def manual_labels(texts: DataFrame, column: str = "value", valid: list[str] | None = None) -> DataFrame:

@@ -132,7 +132,9 @@ def upsert_partitions(
     cannot be read and overwritten at once. Partitions left without rows are deleted last.
     """
     others = [c for c in updates.columns if c not in keys]
-    updates = stored(last_per_key(updates, keys, order or [F.col(c) for c in others]))
+    # maps have no order
+    ranked = [F.col(c) for c in others if "map<" not in updates.schema[c].dataType.simpleString()]
+    updates = stored(last_per_key(updates, keys, order or ranked or [F.lit(0)]))
     spark = updates.sparkSession
     if not exists(spark, path):
         return write_partitions(updates, path, by)

@@ -10,57 +10,125 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine import values as V
-from vitrine.functions.keys import item_key
+from vitrine.functions.keys import item_key, ranking_key
 from vitrine.operators.dedup import flag_duplicates
+from vitrine.operators.filters import pending
 from vitrine.operators.joins import anti_existing
 from vitrine.operators.ranking import score_ranks
-from vitrine.operators.scale import first_per_key, matching
+from vitrine.operators.scale import first_per_key, last_per_key, matching
 from vitrine.operators.scale import stored as written
-from vitrine.sources.landing import PAGE_SCHEMA, posts_of_pages, rejected_pages
+from vitrine.sources.landing import PAGE_SCHEMA, PAGED, RANKED, expand_pages, post_date, posts_of_pages, rejected_pages
+from vitrine.sources.sinks import upsert, upsert_partitions, write_partitions
 
 log = logging.getLogger(__name__)
 
 
-def fresh_posts(pages: DataFrame, provider: str, stored: DataFrame) -> DataFrame:
-    """Posts of landed pages that have a key and are not stored yet, each once."""
-    posts = posts_of_pages(pages, provider)
-    posts = posts.withColumn("key", item_key(provider, F.col("post_id"), F.col("url"))).where("key IS NOT NULL")
-    posts = written(first_per_key(posts, ["type", "post_id"], [F.col("page"), F.col("index")]))
-    return anti_existing(posts, stored, ["type", "post_id"])
+POST_KEY = ["type", "post_id", "artwork_page"]
+# What a download tells about a file, besides its hash.
+FACTS = {"content_type": "string", "downloaded_at": "timestamp", "file_size": "long", "width": "int", "height": "int"}
 
 
-def hashed_items(fresh: DataFrame, stored: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Fresh posts as items: checked for equal content, pending or deduped; those without a hash are left out."""
-    fresh = fresh.join(matching(hashes.select("url", "sha256"), fresh, ["url"]), "url").withColumn("local_path", F.concat(F.lit("/media/"), "key"))
-    fresh = written(fresh.select("type", "post_id", "key", "url", "sha256", "local_path"))
-    return flag_duplicates(fresh, stored).select("type", "post_id", "key", "url", "sha256", "status", "local_path")
+def check_source(provider: str, artworks: DataFrame | None) -> None:
+    if provider in PAGED and artworks is None:
+        raise ValueError(f"posts of {provider} have several files: artworks must name them")
+
+
+def keyed_posts(pages: DataFrame, provider: str, artworks: DataFrame | None = None) -> DataFrame:
+    """Files of landed posts with key, date and artwork_page, each once; the key is null where none is allowed."""
+    check_source(provider, artworks)
+    posts = first_per_key(posts_of_pages(pages, provider), ["type", "post_id"], [F.col("page"), F.col("index")])
+    if provider in PAGED:
+        posts = expand_pages(written(posts), artworks)
+    else:
+        posts = posts.withColumn("artwork_page", F.lit(0))
+    key, date = item_key(provider, F.col("post_id"), F.col("url")), post_date(provider, F.col("asked"), F.col("created_at"))
+    return written(posts.withColumns({"key": key, "date": date}))
+
+
+def fresh_posts(pages: DataFrame, provider: str, stored: DataFrame, artworks: DataFrame | None = None) -> DataFrame:
+    """Files of landed pages that have a key and are not stored yet, each once."""
+    return not_stored(keyed_posts(pages, provider, artworks), stored)
 
 
-def unhashed_posts(fresh: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Fresh posts whose content is not known yet: type, post_id, key, url."""
+def not_stored(posts: DataFrame, stored: DataFrame) -> DataFrame:
+    if "artwork_page" not in stored.columns:
+        stored = stored.withColumn("artwork_page", F.lit(0))
+    return anti_existing(posts.where("key IS NOT NULL"), stored, POST_KEY)
+
+
+def hashed_items(fresh: DataFrame, stored: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Fresh posts as whole items: checked for equal content, pending or deduped; those without a hash are left out.
+
+    `hashes` holds url and sha256, and any of FACTS; without a download time it is now.
+    """
+    known = matching(hashes.select("url", "sha256", *[c for c in FACTS if c in hashes.columns]), fresh, ["url"])
+    found = fresh.join(known, "url")
+    for c, kind in FACTS.items():
+        found = found if c in found.columns else found.withColumn(c, F.lit(None).cast(kind))
+    ranking = F.to_json(F.struct("mode", "date", "page", "index"))
+    items = found.select(
+        *POST_KEY, "key", "date", F.col("url").alias("original_url"), "sha256", *[c for c in FACTS if c != "downloaded_at"],
+        F.coalesce("downloaded_at", F.current_timestamp()).alias("downloaded_at"),
+        F.concat(F.lit("/media/"), "key").alias("local_path"),
+        F.create_map().cast("map<string,map<string,double>>").alias("inferences"),
+        F.create_map(F.col("type"), F.col("post"), F.concat("type", F.lit("Ranking")), ranking).alias("metadata"),
+    )
+    return flag_duplicates(written(items), stored)
+
+
+def dead_posts(posts: DataFrame, fresh: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Files that cannot become items: without an allowed key, or of unknown content."""
     known = matching(hashes.where("sha256 IS NOT NULL").select("url"), fresh, ["url"])
-    return fresh.join(known, "url", "left_anti").select("type", "post_id", "key", "url")
+    lost = fresh.join(known, "url", "left_anti").unionByName(posts.where("key IS NULL"))
+    return lost.select(*POST_KEY, "key", "url")
 
 
-def new_items(pages: DataFrame, provider: str, stored: DataFrame, hashes: DataFrame) -> DataFrame:
+def ranking_entries(pages: DataFrame, provider: str) -> DataFrame:
+    """key, type, post_id, date, mode, page, index, post: every place of a post in what landed.
+
+    Rankings count a post once per day and mode, other listings once; the last place wins.
+    """
+    posts = posts_of_pages(pages, provider)
+    own = F.col("post_id").cast("string")
+    key = ranking_key(F.col("asked"), F.col("mode"), F.col("post_id")) if provider in RANKED else own
+    rows = posts.select(
+        key.alias("key"), "type", "post_id", post_date(provider, F.col("asked"), F.col("created_at")).alias("date"), "mode", "page", "index", "post"
+    )
+    return last_per_key(rows.where("post_id IS NOT NULL"), ["key"], [F.col("page"), F.col("index")])
+
+
+def new_items(
+    pages: DataFrame, provider: str, stored: DataFrame, hashes: DataFrame, artworks: DataFrame | None = None
+) -> DataFrame:
     """Items of landed pages that are not stored: keyed, checked for equal content, pending or deduped.
 
-    `hashes` gives sha256 by url, `stored` the items so far (type, post_id, key, sha256). The
-    posts, and then the new ones with their hashes, are written, as several joins start from them.
+    `stored` are the items so far (type, post_id, artwork_page, key, sha256). The posts, and then
+    the new ones with their hashes, are written, as several joins start from them.
     """
-    return hashed_items(fresh_posts(pages, provider, stored), stored, hashes)
+    return hashed_items(fresh_posts(pages, provider, stored, artworks), stored, hashes)
 
 
 def ingest_stream(
-    spark: SparkSession, landing: str, provider: str, read_stored: Callable[[], DataFrame], hashes: DataFrame, target: str, checkpoint: str, dead: str | None = None
+    spark: SparkSession,
+    landing: str,
+    provider: str,
+    read_stored: Callable[[], DataFrame],
+    hashes: DataFrame,
+    target: str,
+    checkpoint: str,
+    dead: str | None = None,
+    artworks: DataFrame | None = None,
+    rankings: str | None = None,
 ) -> StreamingQuery:
     """Take the pages that landed since the last run; a file is read once, also after a restart.
 
     Each batch writes `target/type=<provider>/batch=<id>`, so a replay replaces itself. The
     stored items are asked for anew in every batch. As a file is never read again, what cannot
-    become an item is kept: posts without a hash under `dead/posts`, rejected pages under
-    `dead/pages`, in the same partitions.
+    become an item is kept: posts without a key or a hash under `dead/posts`, rejected pages under
+    `dead/pages`, in the same partitions. With `rankings` the places of all posts are upserted
+    into that folder of the provider, by date.
     """
+    check_source(provider, artworks)
 
     def write(pages: DataFrame, batch: int) -> None:
         stored = read_stored()
@@ -68,9 +136,12 @@ def ingest_stream(
             # a replayed batch must not find its own earlier output
             stored = stored.where((F.col("type") != provider) | (F.col("batch") != batch) | F.col("batch").isNull())
         at = f"type={provider}/batch={batch}"
-        fresh = fresh_posts(pages, provider, stored)
+        if rankings:
+            upsert_partitions(ranking_entries(pages, provider), f"{rankings}/{provider}", ["key"], ["date"], [F.col("page"), F.col("index")])
+        posts = keyed_posts(pages, provider, artworks)
+        fresh = written(not_stored(posts, stored))
         if dead:
-            unhashed_posts(fresh, hashes).drop("type").write.mode("overwrite").parquet(f"{dead}/posts/{at}")
+            dead_posts(posts, fresh, hashes).drop("type").write.mode("overwrite").parquet(f"{dead}/posts/{at}")
             rejected_pages(pages, provider).write.mode("overwrite").parquet(f"{dead}/pages/{at}")
         hashed_items(fresh, stored, hashes).drop("type").write.mode("overwrite").parquet(f"{target}/{at}")
 
@@ -113,13 +184,26 @@ def pending_stream(items: DataFrame, process: Callable[[DataFrame, int], None],
     )
 
 
+def score_backlog(spark: SparkSession, path: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One run over the stored items that are pending or failed before; returns what `job` gave.
+
+    `path` holds items by date. `job` takes the waiting ones and returns item_id, status and any
+    fields to set; they are merged into the stored items, null fields leaving what is there, and
+    only the touched dates are written again. An item that fails stays for the next run.
+    """
+    todo = written(pending(spark.read.parquet(path)))
+    done = written(job(todo))
+    known = [c for c in done.columns if c in todo.columns]
+    merged = upsert(todo, done.select(*known).join(todo.select("item_id"), "item_id", "left_semi"), ["item_id"])
+    upsert_partitions(merged.select(*todo.columns), path, ["item_id"], ["date"], [F.col("status")])
+    return done
+
+
 def refresh_ranks(items: DataFrame, path: str) -> None:
     """Write the rank table by date; only dates in `items` are replaced.
 
     Readers see ranks no older than the last refresh, so the trigger interval bounds staleness.
     """
-    from vitrine.sources.sinks import write_partitions
-
     write_partitions(score_ranks(items), path, ["date"])
 
 
