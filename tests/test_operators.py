@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import linear_maps
 from vitrine.functions.udfs import byte_histogram, extract_features
-from vitrine.learning import datasets, fit, models
+from vitrine.learning import datasets, fit, importance, models
 from vitrine.learning.nnpu import fit_nnpu
 from vitrine.operators import aggregates, dedup, metrics, nested, ranking, scale, vectors
 from vitrine.sources import landing, sinks
@@ -349,3 +349,39 @@ def test_salted_joins_change_no_result(spark, monkeypatch):
     first = pandas.groupby("sha256")["key"].first()
     got = {r["key"]: r["canonical_key"] for r in jobs["dedupe"]().collect()}
     assert all(got[k] == first[h] for k, h in zip(pandas["key"], pandas["sha256"]))
+
+
+def test_class_gradients_are_mean_finite_differences(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(int(v[0] > 0) + int(v[1] > 0), v.tolist()) for v in x], "y int, vec array<double>")
+    model = fit.fit_multiclass(rows, "mlp")
+    got = {(r["model"], r["idx"]): r["coef"] for r in importance.class_gradients(rows, model, ["a", "b", "c"]).collect()}
+    raw = lambda v: model.predictRaw(Vectors.dense(v)).toArray()
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-4
+        want = np.mean([(raw(v + step) - raw(v - step)) / 2e-4 for v in x], axis=0)
+        assert np.allclose([got[c, i] for c in "abc"], want, atol=1e-4)
+    linear = fit.fit_multiclass(rows, "linear_svc")
+    coefs = importance.class_coefficients(spark, linear, ["a", "b", "c"]).where("model = 'b'").orderBy("idx").collect()
+    assert np.allclose([r["coef"] for r in coefs], linear.models[1].coefficients.toArray())
+
+
+def test_item_ranks_equal_those_of_the_whole_catalogue(spark):
+    rows = [(i, "2024-01-01" if i % 3 else "2024-01-02", "inferred" if i % 5 else "error", {"m": {"score": float(i % 4), "x": 1.0}}) for i in range(40)]
+    items = spark.createDataFrame(rows, "item_id long, date string, status string, inferences map<string,map<string,double>>")
+    every = {(r["item_id"], r["field"]): (r["rank"], r["total"]) for r in ranking.score_ranks(items).collect()}
+    for one in (0, 7, 9, 38):
+        for r in ranking.item_ranks(items, one).collect():
+            assert (r["rank"], r["total"]) == every.get((one, r["field"]), (None, r["total"]))
+    assert ranking.item_ranks(items, 99).count() == 0
+
+
+def test_deep_pages_by_key_hold_whole_rows(spark):
+    rows = spark.range(5000).select(F.col("id").alias("item_id"), (F.col("id") % 7).alias("value"), F.concat(F.lit("n"), "id").alias("name"))
+    order = [F.desc("value"), F.asc("item_id")]
+    page = lambda narrow: [tuple(r) for r in scale.top_rows(rows, order, 30, 3000, narrow).collect()]
+    want = sorted(((i, i % 7, f"n{i}") for i in range(5000)), key=lambda r: (-r[1], r[0]))[3000:3030]
+    assert page(["item_id", "value"]) == want == page(None)

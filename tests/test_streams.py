@@ -107,6 +107,10 @@ def test_rank_table_replaces_only_its_dates(spark, tmp_path):
     ingest.refresh_ranks(items([(1, "2024-01-01", 0.9), (2, "2024-01-01", 0.2)]), path)
     got = {r["item_id"]: (r["rank"], r["total"]) for r in spark.read.parquet(path).collect()}
     assert got == {1: (1, 2), 2: (2, 2), 3: (1, 1)}
+    # the only item of the second day is gone
+    days = spark.createDataFrame([("2024-01-02",), ("2024-01-03",)], "date string")
+    ingest.refresh_ranks(items([(3, "2024-01-02", None)]), path, days)
+    assert {r["item_id"] for r in spark.read.parquet(path).collect()} == {1, 2}
 
 
 def artwork_page(number, works):

@@ -37,6 +37,21 @@ def linear_maps(vec: Column, weights, bias=0.0) -> Column:
     return product(vec)
 
 
+def scaled(vec: Column, shift, factor) -> Column:
+    """array<double> of (vec - shift) * factor, element by element, one Arrow batch at a time; null for a null vector."""
+    s, f = np.asarray(shift, dtype=float), np.asarray(factor, dtype=float)
+
+    @F.arrow_udf("array<double>")
+    def moved(v: pa.Array) -> pa.Array:
+        valid = np.asarray(v.is_valid())
+        x = v.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(s))
+        out = (x - s) * f
+        lists = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * len(s), out.ravel())
+        return lists.take(pa.array(np.cumsum(valid) - 1, mask=~valid)) if v.null_count else lists
+
+    return moved(vec)
+
+
 def take_indices(vec: Column, indices: list[int]) -> Column:
     """The elements at fixed positions, in that order."""
     return F.transform(F.array(*[F.lit(i) for i in indices]), lambda i: F.get(vec, i))

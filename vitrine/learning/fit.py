@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine import values as V
+from vitrine.functions.vectors import scaled
 from vitrine.learning.datasets import build_xy
 from vitrine.learning.models import LinearScorer, Member, unscaled
 from vitrine.operators.metrics import auc_and_ap, precision_at_positives, weighted_auc
@@ -42,8 +43,7 @@ def standardize(df: DataFrame, fitted=None, vec: str = "vec") -> DataFrame:
     """Scale with the moments of `fitted` (default: of df itself); constant features become 0."""
     _, mean, std = fitted or moments(df, vec)
     factor = np.divide(1.0, std, out=np.zeros_like(std), where=std > 0)
-    centred = F.zip_with(F.col(vec), F.lit(mean.tolist()), lambda x, m: x.cast("double") - m)
-    return df.withColumn(vec, F.zip_with(centred, F.lit(factor.tolist()), lambda x, f: x * f))
+    return df.withColumn(vec, scaled(F.col(vec), mean, factor))
 
 
 def _ready(train: DataFrame, scale: bool):

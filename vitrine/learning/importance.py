@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,31 @@ def mean_gradients(df: DataFrame, model: LinearScorer, n: int | None = None, see
     return means.select(F.lit(model.name).alias("model"), F.posexplode(gradient).alias("idx", "coef"))
 
 
+def class_coefficients(spark, model, classes: list[str]) -> DataFrame:
+    """model, idx, coef of every class of a one-against-the-rest linear model; as long as a vector."""
+    rows = [(c, i, float(v)) for c, m in zip(classes, model.models, strict=True) for i, v in enumerate(m.coefficients.toArray())]
+    return spark.createDataFrame(rows, "model string, idx int, coef double")
+
+
+def class_gradients(df: DataFrame, model, classes: list[str], vec: str = "vec") -> DataFrame:
+    """model, idx, coef: mean derivative of every class's output by each input, over all rows.
+
+    `model` is a network with one hidden layer. An output's derivative is linear in the slopes of
+    the hidden units, so only their means over the rows are needed: one aggregate of one number
+    per unit.
+    """
+    width, hidden, outs = model.getLayers()
+    flat, at = model.weights.toArray(), hidden * (width + 1)
+    inner = flat[: hidden * width].reshape(width, hidden).T
+    outer = flat[at : at + outs * hidden].reshape(hidden, outs).T
+    slope = lambda z: 1.0 / (1.0 + F.exp(-z)) * (1.0 - 1.0 / (1.0 + F.exp(-z)))
+    slopes = F.transform(linear_maps(F.col(vec), inner, flat[hidden * width : at]), slope)
+    mean = df.agg(Summarizer.mean(array_to_vector(slopes)).alias("m")).first()["m"]
+    gradients = (outer * mean.toArray()) @ inner if mean is not None else np.zeros((outs, width))
+    rows = [(c, i, float(v)) for c, g in zip(classes, gradients, strict=True) for i, v in enumerate(g)]
+    return df.sparkSession.createDataFrame(rows, "model string, idx int, coef double")
+
+
 def feature_importance(coefs: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
     """rank, tag, coef, idx of the k largest and k smallest coefficients of each model."""
     rows = coefs.join(broadcast_if_small(vocabulary.select("idx", "tag")), "idx")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine import values as V
-from vitrine.operators.scale import number_rows, skew_join, top_per_group, top_rows
+from vitrine.operators.scale import number_rows, skew_join, stored, top_per_group, top_rows
 
 
 def _curve(df: DataFrame, by: list[str]) -> DataFrame:
@@ -96,12 +96,17 @@ def weighted_precision_at_k(df: DataFrame, by: list[str], k: int) -> DataFrame:
     )
 
 
+def _fbeta(beta: float) -> Column:
+    """F-beta of a row of `weighted_precision_at_k`."""
+    p, square = F.col("precision"), beta * beta
+    r = F.col("hit_weight") / F.nullif(F.col("positive_weight"), F.lit(0.0))
+    value = F.coalesce((1 + square) * p * r / F.nullif(square * p + r, F.lit(0.0)), F.lit(0.0))
+    return value.alias(f"f{beta}".replace(".", "_"))
+
+
 def fbeta_at_k(df: DataFrame, by: list[str], k: int, betas=(0.5, 1.0)) -> DataFrame:
     """One column f<beta> per beta from weighted precision and weighted recall at k."""
-    p = F.col("precision")
-    r = F.col("hit_weight") / F.nullif(F.col("positive_weight"), F.lit(0.0))
-    score = lambda b: F.coalesce((1 + b * b) * p * r / F.nullif(b * b * p + r, F.lit(0.0)), F.lit(0.0))
-    return weighted_precision_at_k(df, by, k).select(*by, *[score(b).alias(f"f{b}".replace(".", "_")) for b in betas])
+    return weighted_precision_at_k(df, by, k).select(*by, *[_fbeta(b) for b in betas])
 
 
 def eval_subset(evaluation: DataFrame, label: str, modes=V.WEIGHTING_MODES) -> DataFrame:
@@ -128,7 +133,11 @@ def eval_subset(evaluation: DataFrame, label: str, modes=V.WEIGHTING_MODES) -> D
 
 
 def evaluate(evaluation: DataFrame, by: list[str], k: int, betas=(0.5, 1.0)) -> DataFrame:
-    """Every metric of a scored evaluation table, one row per group."""
+    """Every metric of a scored evaluation table, one row per group.
+
+    The columns the metrics read are stored once, as several orders are made of them.
+    """
+    evaluation = stored(evaluation.select(*by, "item_id", "y", "score", "weight", "relevance"))
     counts = evaluation.groupBy(*by).agg(
         F.count_if(F.expr("y = 1")).alias("n_pos"), F.count_if(F.expr("y = 0")).alias("n_neg")
     )
@@ -136,8 +145,7 @@ def evaluate(evaluation: DataFrame, by: list[str], k: int, betas=(0.5, 1.0)) ->
     parts = [
         weighted_ndcg_at_k(evaluation, by, k),
         auc_and_ap(evaluation, by),
-        weighted_precision_at_k(evaluation, by, k).select(*by, "precision"),
-        fbeta_at_k(evaluation, by, k, betas),
+        weighted_precision_at_k(evaluation, by, k).select(*by, "precision", *[_fbeta(b) for b in betas]),
     ]
     for part in parts:
         out = out.join(part, by, "left")

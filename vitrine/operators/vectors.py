@@ -18,6 +18,8 @@ from vitrine.operators.scale import top_per_group, top_rows
 DIGITS = 9
 # Queries multiplied at a time inside a task; bounds the score matrix.
 SLICE = 512
+# Vectors of one side of a task, in double precision.
+BLOCK_BYTES = 256 << 20
 
 
 def check_axis(axis: str) -> None:
@@ -92,7 +94,8 @@ def similar_items_all(
 ) -> DataFrame:
     """query_id, item_id, similarity, rank for every query item, exact.
 
-    Queries and candidates are hashed into blocks of about `block` rows; each task multiplies
+    Queries and candidates are hashed into blocks of about `block` rows, fewer where their vectors
+    would take more than BLOCK_BYTES; each task multiplies
     one query block with one candidate block and hands on only k rows per query. Both sides of
     a task are bounded whatever the data holds, and the pair matrix never leaves the task.
     """
@@ -105,6 +108,8 @@ def similar_items_all(
         .join(queries.select("item_id"), "item_id", "left_semi")
         .select(F.col("item_id").alias("query_id"), F.col("vec").alias("vec"))
     )
+    longest = found.agg(F.max(F.size("vec"))).first()[0] or 1
+    block = max(1, min(block, BLOCK_BYTES // (8 * longest)))
     parts = lambda df: max(1, math.ceil(df.count() / block))
     n_q, n_c = parts(asked), parts(found)
     bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

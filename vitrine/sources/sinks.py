@@ -121,6 +121,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
+def drop_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of a table; false if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def upsert_partitions(
     updates: DataFrame, path: str, keys: list[str], by: list[str], order: list[Column] | None = None
 ) -> None:
@@ -148,8 +154,7 @@ def upsert_partitions(
     gone = null_safe_join(inside, merged.select(*by).distinct(), by, "left_anti").select("_file").distinct().collect()
     write_partitions(merged, path, by)
     for row in gone:
-        file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row["_file"])
-        file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, False)
+        drop_folder(spark, row["_file"])
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:

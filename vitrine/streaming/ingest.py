@@ -15,10 +15,10 @@ from vitrine.operators.dedup import flag_duplicates
 from vitrine.operators.filters import pending
 from vitrine.operators.joins import anti_existing
 from vitrine.operators.ranking import score_ranks
-from vitrine.operators.scale import first_per_key, last_per_key, matching
+from vitrine.operators.scale import broadcast_if_small, first_per_key, last_per_key, matching
 from vitrine.operators.scale import stored as written
 from vitrine.sources.landing import PAGE_SCHEMA, PAGED, RANKED, expand_pages, post_date, posts_of_pages, rejected_pages
-from vitrine.sources.sinks import upsert, upsert_partitions, write_partitions
+from vitrine.sources.sinks import drop_folder, upsert, upsert_partitions, write_partitions
 
 log = logging.getLogger(__name__)
 
@@ -199,20 +199,27 @@ def score_backlog(spark: SparkSession, path: str, job: Callable[[DataFrame], Dat
     return done
 
 
-def refresh_ranks(items: DataFrame, path: str) -> None:
+def refresh_ranks(items: DataFrame, path: str, dates: DataFrame | None = None) -> None:
     """Write the rank table by date; only dates in `items` are replaced.
 
-    Readers see ranks no older than the last refresh, so the trigger interval bounds staleness.
+    `dates` names the dates that `items` is meant to cover: one without a ranked item left loses
+    its ranks. Readers see ranks no older than the last refresh, so the trigger interval bounds
+    staleness.
     """
-    write_partitions(score_ranks(items), path, ["date"])
+    ranks = written(score_ranks(items))
+    write_partitions(ranks, path, ["date"])
+    if dates is not None:
+        # one row per calendar day
+        for row in dates.where("date IS NOT NULL").distinct().join(ranks.select("date"), "date", "left_anti").collect():
+            drop_folder(items.sparkSession, f"{path}/date={row['date']}")
 
 
 def rank_cache_stream(changed: DataFrame, read_items: Callable[[], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Refresh the ranks of every date that a batch of changed items touches."""
 
     def refresh(batch: DataFrame, _: int) -> None:
-        dates = batch.select("date").distinct()
-        refresh_ranks(read_items().join(dates, "date", "left_semi"), path)
+        dates = written(batch.select("date").distinct())
+        refresh_ranks(read_items().join(broadcast_if_small(dates), "date", "left_semi"), path, dates)
 
     return (
         changed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(refresh).start()
