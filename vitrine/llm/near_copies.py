@@ -186,6 +186,15 @@ def _hex(mark: Column) -> Column:
     return F.lpad(F.lower(F.hex(mark)), 16, "0")
 
 
+def with_best(rows: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """`rows` with _best, the least _first of the `distinct` (_fp, _first) their _fp is connected to by `roots`."""
+    linked = roots.join(distinct, roots.node == distinct["_fp"]).select("_fp", "root", "_first")
+    firsts = linked.groupBy("root").agg(F.min("_first").alias("_best"))
+    labels = linked.join(firsts, "root").select("_fp", "_best")
+    groups = distinct.join(labels, "_fp", "left").select("_fp", F.coalesce("_best", "_first").alias("_best"))
+    return skew_join(rows, groups, ["_fp"], "inner", ["_row"])
+
+
 def near_copies(captions: DataFrame, distance: int = 4, keep: list[str] | None = None) -> DataFrame:
     """Captions with their group of near copies: the columns `keep` (all by default) plus
     fingerprint (16 hex digits), component_id, representative.
@@ -209,11 +218,7 @@ def near_copies(captions: DataFrame, distance: int = 4, keep: list[str] | None =
     first = F.min(F.struct(F.col("item_id").isNull().alias("n"), "item_id", "_row"))
     distinct = stored(rows.groupBy("_fp").agg(first.alias("_first")))
     roots = stored(connected(fingerprint_links(distinct.select("_fp"), distance)))
-    linked = roots.join(distinct, roots.node == distinct["_fp"]).select("_fp", "root", "_first")
-    firsts = linked.groupBy("root").agg(F.min("_first").alias("_best"))
-    labels = linked.join(firsts, "root").select("_fp", "_best")
-    groups = distinct.join(labels, "_fp", "left").select("_fp", F.coalesce("_best", "_first").alias("_best"))
-    joined = skew_join(rows, groups, ["_fp"], "inner", ["_row"])
+    joined = with_best(rows, distinct, roots)
     return joined.select(
         *[F.col(f"`{c}`") for c in columns],
         _hex(F.col("_fp")).alias("fingerprint"),
