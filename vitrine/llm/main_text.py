@@ -39,6 +39,9 @@ CUES = set(
 )
 # Page headers are furniture, an article's own header is not.
 OUTSIDE_ONLY = {"header", "masthead"}
+BLOCKS = set(
+    "div section p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center br hr img".split()
+)
 KNOWN = INLINE | VOID | CONTENT | FURNITURE | OUTSIDE_ONLY | set(
     "html body div section p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center".split()
 )
@@ -134,28 +137,38 @@ def in_furniture(around: tuple) -> bool:
 
 
 def token_counts(page: str | None) -> dict[str, list[int]]:
-    """Per token, how many lie inside and outside the content a page marks; none where it marks none."""
+    """Per token, how many lie inside and outside the content a page marks; none where it marks none.
+
+    Furniture is known by its marks and scores nothing, so what lies in it says nothing about a token.
+    """
     events, _ = page_events(page)
     if not any(e[4] for e in events):
         return {}
     counts: dict[str, list[int]] = {}
     for kind, key, piece, around, inside, _ in events:
-        if kind == "tag" and key.lstrip("/") in CONTENT:
+        if (kind == "tag" and key.lstrip("/") in CONTENT) or in_furniture(around):
             continue
         found = counts.setdefault("word " + key if kind == "text" else key, [0, 0])
-        found[0 if inside and not in_furniture(around) else 1] += len(piece.split()) if kind == "text" else 1
+        found[0 if inside else 1] += len(piece.split()) if kind == "text" else 1
     return counts
 
 
 def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log of how much likelier a token is inside the content, kept positive for words, negative for tags."""
+    """Log of how much likelier a token is inside the content, kept positive for words, negative for tags.
+
+    A block tag that no content holds has shown nothing about content that does hold it, so it
+    costs next to nothing. An edge of the content costs EDGE words whatever a word scores.
+    """
     inside = sum(c[0] for c in counts.values()) + len(counts) + 1
     outside = sum(c[1] for c in counts.values()) + len(counts) + 1
-    weights = {"word plain": 1.0, "word link": LEAST_WORD} | {f"{side}{n}": -EDGE for n in CONTENT for side in ("", "/")}
+    weights = {"word plain": 1.0, "word link": LEAST_WORD} | {f"{side}{n}": LEAST_TAG for n in BLOCKS for side in ("", "/")}
     for key, (a, b) in counts.items():
+        if not a and key.lstrip("/") in BLOCKS:
+            continue
         odds = math.log((a + 1) / inside) - math.log((b + 1) / outside)
         weights[key] = max(odds, LEAST_WORD) if key.startswith("word ") else max(min(odds, LEAST_TAG), MOST_TAG)
-    return weights
+    edge = -EDGE * max(1.0, weights["word plain"])
+    return weights | {f"{side}{n}": edge for n in CONTENT for side in ("", "/")}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
