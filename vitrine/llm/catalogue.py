@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vitrine.llm import q_native, q_texts
+from vitrine.llm import q_native, q_phrases, q_texts
 
-REGISTRIES = (q_native.R, q_texts.R)
+REGISTRIES = (q_native.R, q_texts.R, q_phrases.R)
 
 
 def queries() -> dict:
