@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vitrine.llm import fill_middle, phrases
+from vitrine.llm import byte_network, fill_middle, phrases
 from vitrine.llm.q_native import captions
-from vitrine.plans.fixtures import Registry
+from vitrine.llm.q_texts import held_out
+from vitrine.plans.fixtures import Registry, table
 
 R = Registry()
 
@@ -51,3 +52,11 @@ def op12(spark, d):
     return fill_middle.restore_middle(examples).selectExpr(
         "item_id AS doc_id", "n", "form", "prefix_chars", "middle_chars", "fim_sha256 AS output_sha256", "restored_sha256"
     )
+
+
+@R.add("op11_score_quality")
+def op11(spark, d):
+    texts = captions(spark, d).select("item_id", "caption")
+    labels = table(spark, d, "labels").selectExpr("doc_id AS item_id", "quality")
+    network = byte_network.fit_quality(texts.where(~held_out("item_id")), labels.where(~held_out("item_id")))
+    return byte_network.score_quality(texts, network).select("item_id", held_out("item_id").alias("held_out"), "score", "predicted").withColumnRenamed("item_id", "doc_id")
