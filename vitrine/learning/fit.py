@@ -114,14 +114,19 @@ def _auc(model: LinearScorer, rows: DataFrame) -> float:
     return weighted_auc(scored, []).first()["auc"]
 
 
-def grid_search(method: str, train: DataFrame, validation: DataFrame, pi: float, grid=C_GRID, **names):
-    """(best C, its AUC, its model); the first of equal values wins."""
+def grid_attempts(method: str, train: DataFrame, validation: DataFrame, pi: float, grid=C_GRID, **names) -> list[tuple]:
+    """(C, validation AUC, model) of every C in the grid."""
 
     def attempt(C: float):
         model = fit_elkan_noto(train, C=C, **names) if method == "elkan_noto" else fit_biased_svm(train, pi, C=C, **names)
         return C, _auc(model, validation), model
 
-    return max(side_by_side([lambda C=C: attempt(C) for C in grid]), key=lambda found: found[1])
+    return side_by_side([lambda C=C: attempt(C) for C in grid])
+
+
+def grid_search(method: str, train: DataFrame, validation: DataFrame, pi: float, grid=C_GRID, **names):
+    """(best C, its AUC, its model); the first of equal values wins."""
+    return max(grid_attempts(method, train, validation, pi, grid, **names), key=lambda found: found[1])
 
 
 def evaluate_model(model: LinearScorer, rows: DataFrame) -> DataFrame:
@@ -141,11 +146,14 @@ def train_matrix(
     overwrite: bool = False,
     max_unlabeled: int | None = None,
     search: bool = False,
+    network: bool = False,
 ) -> tuple[list[LinearScorer], DataFrame | None]:
     """Fit every feature x label x method not known yet; one metrics row each.
 
-    The loop is over model names only, each fit is a Spark job over its rows.
+    The loop is over model names only, each fit is a Spark job over its rows. `network` takes the
+    network for nnpu instead of the linear model.
     """
+    from vitrine.learning.network import fit_nnpu_network
     from vitrine.learning.nnpu import fit_nnpu
     from vitrine.operators.aggregates import class_prior
 
@@ -160,7 +168,7 @@ def train_matrix(
         val = build_xy(splits, store, dim, "val", label)
         names = {"name": name, "feature": feature}
         if method == "nnpu":
-            model = fit_nnpu(train, val, pi, **names)
+            model = (fit_nnpu_network if network else fit_nnpu)(train, val, pi, **names)
         elif search:
             model = grid_search(method, train, val, pi, **names)[2]
         elif method == "elkan_noto":

@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,47 @@ class LinearScorer:
         return LinearScorer(**{**d, "members": [Member(**m) for m in d["members"]]})
 
 
+@dataclass
+class NetworkScorer:
+    """sigmoid of a chain of affine maps with max(0, .) between them; the first map applies to raw vectors."""
+
+    name: str
+    feature: str
+    method: str
+    weights: list[list[list[float]]] = field(default_factory=list)
+    biases: list[list[float]] = field(default_factory=list)
+    kind: str = "network"
+
+    def margin(self, vec: Column) -> Column:
+        maps = [(np.asarray(w, dtype=float), np.asarray(b, dtype=float)) for w, b in zip(self.weights, self.biases, strict=True)]
+
+        @F.arrow_udf("double")
+        def chain(v: pa.Array) -> pa.Array:
+            valid = np.asarray(v.is_valid())
+            a = v.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, maps[0][0].shape[0])
+            for i, (w, b) in enumerate(maps):
+                a = (np.maximum(a, 0) if i else a) @ w + b
+            out = np.full(len(valid), np.nan)
+            out[valid] = a[:, 0]
+            return pa.array(out, mask=~valid)
+
+        return chain(vec)
+
+    def score(self, vec: Column) -> Column:
+        return 1.0 / (1.0 + F.exp(-self.margin(vec)))
+
+    def row(self) -> tuple[str, str]:
+        return self.name, json.dumps(asdict(self))
+
+
+Scorer = LinearScorer | NetworkScorer
+
+
+def from_json(text: str) -> Scorer:
+    d = json.loads(text)
+    return NetworkScorer(**d) if d.get("kind") == "network" else LinearScorer.from_json(text)
+
+
 def unscaled(weights, bias: float, mean, std) -> tuple[list[float], float]:
     """Move standardisation into the weights; a constant feature has no weight."""
     w, m, s = (np.asarray(a, dtype=float) for a in (weights, mean, std))
@@ -66,21 +108,24 @@ def unscaled(weights, bias: float, mean, std) -> tuple[list[float], float]:
     return raw.tolist(), float(bias - raw @ m)
 
 
-def save_models(spark: SparkSession, models: list[LinearScorer], path: str) -> None:
+def save_models(spark: SparkSession, models: list[Scorer], path: str) -> None:
     """Append models, one row each."""
     spark.createDataFrame([m.row() for m in models], "name string, model string").write.mode("append").parquet(path)
 
 
-def load_models(spark: SparkSession, path: str) -> list[LinearScorer]:
-    return [LinearScorer.from_json(r["model"]) for r in spark.read.parquet(path).collect()]
+def load_models(spark: SparkSession, path: str) -> list[Scorer]:
+    return [from_json(r["model"]) for r in spark.read.parquet(path).collect()]
 
 
-def score_batch(items: DataFrame, models: list[LinearScorer], vectors: dict[str, str], column: str = "inferences") -> DataFrame:
+def score_batch(items: DataFrame, models: list[Scorer], vectors: dict[str, str], column: str = "inferences") -> DataFrame:
     """Adds a map model name to {score}; `vectors` names the vector column of each feature.
 
-    The models of a feature share one matrix product, and the table is read once.
+    The linear models of a feature share one matrix product, and the table is read once.
     """
     entries, products = [], {}
+    for m in (m for m in models if isinstance(m, NetworkScorer)):
+        entries += [sanitize_key(F.lit(m.name)), F.create_map(F.lit("score"), m.score(F.col(vectors[m.feature])))]
+    models = [m for m in models if isinstance(m, LinearScorer)]
     for feature in dict.fromkeys(m.feature for m in models):
         members = [p for m in models if m.feature == feature for p in m.members]
         margins = linear_maps(F.col(vectors[feature]), [p.weights for p in members], [p.bias for p in members])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from vitrine import values as V
@@ -151,11 +152,45 @@ def _(spark, d):
     return _scores(fit_nnpu(train, held, 0.4), rows)
 
 
-@R.add("k8_grid_search", FACTS.replace(" FROM", ", true AS in_grid FROM"))
+def short_half_space(spark, d):
+    """The half-space over the first eight components: few enough to generalise from hundreds of rows, a third of them mislabelled."""
+    return half_space(spark, d).withColumn("vec", F.slice("vec", 1, 8))
+
+
+# Of positives a third is unlabelled, so a quarter of the unlabelled rows are positive.
+HIDDEN_SHARE = 0.25
+
+
+@R.add("k7_fit_nnpu_half_space", FACTS)
+def _(spark, d):
+    from vitrine.learning.nnpu import fit_nnpu
+
+    rows = short_half_space(spark, d)
+    return facts(spark, d, fit_nnpu(*halves(rows), HIDDEN_SHARE), rows)
+
+
+@R.add("k7_fit_nnpu_network", FACTS)
+def _(spark, d):
+    from vitrine.learning.network import fit_nnpu_network
+
+    rows = short_half_space(spark, d)
+    return facts(spark, d, fit_nnpu_network(*halves(rows), HIDDEN_SHARE, hidden=[32], epochs=30, rate=0.02, check=5), rows)
+
+
+# What the search promises: the first C whose validation AUC no other C passes.
+@R.add("k8_grid_search", FACTS.replace("told_apart", "best_of_grid").replace(" FROM", ", true AS in_grid FROM"))
 def _(spark, d):
     rows = half_space(spark, d)
-    C, _, model = fit.grid_search("elkan_noto", *halves(rows), 0.4)
-    return facts(spark, d, model, rows).withColumn("in_grid", F.lit(C in fit.C_GRID))
+    train, held = halves(rows)
+    C, auc, model = fit.grid_search("elkan_noto", train, held, 0.4)
+    found = {}
+    for other in fit.C_GRID:
+        scored = held.select(F.col("y").cast("double").alias("y"), fit.fit_elkan_noto(train, C=other).score(F.col("vec")).alias("score"))
+        found[other] = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="y", numBins=0).evaluate(scored)
+    best = [c for c in fit.C_GRID if abs(found[c] - max(found.values())) < 1e-9][0]
+    return facts(spark, d, model, rows).drop("told_apart").withColumns(
+        {"best_of_grid": F.lit(C == best and abs(auc - found[C]) < 1e-9), "in_grid": F.lit(C in fit.C_GRID)}
+    )
 
 
 @R.add("k9_train_matrix")

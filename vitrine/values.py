@@ -107,3 +107,7 @@ OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
 # Limits of the repetition check.
 PHRASE_WORDS, PHRASE_CHARS, PHRASE_REPEATS = (3, 50), 10, 3
 PATTERN_CHARS, PATTERN_REPEATS, CHAR_RUN = (2, 19), 6, 30
+
+# Hidden layers of the network for each feature and for any other, and its dropout.
+HIDDEN_LAYERS = {"deepdanbooru": [1024, 512, 128], "eva02": [512, 256, 128], "pixai": [2048, 512, 128]}
+HIDDEN_OTHER, DROPOUT = [512, 128], 0.3
