@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import media, text
 from vitrine.functions.udfs import byte_histogram, extract_features
-from vitrine.operators import joins, nested, vectors
+from vitrine.operators import joins, near_vectors, nested, vectors
 from vitrine.operators.scale import stored
 from vitrine.plans.fixtures import ITEMS, Registry, items, table
 from vitrine.plans.q_sources import POINTS, entries, points
@@ -267,6 +267,21 @@ def _(spark, d):
     return vectors.similar_items_all(p, p.select("item_id").distinct(), 5, "character")
 
 
+# What the approximate form promises: exact similarities, and at least nine of ten nearest found.
+@R.add("j2_similar_items_near", f"""
+WITH {ITEMS}, {POINTS} SELECT count(*) AS asked, true AS exact, true AS found FROM points WHERE axis = 'character'""")
+def _(spark, d):
+    p = stored(points(spark, d))
+    near = stored(near_vectors.similar_items_near(p, p.select("item_id"), 5, "character", run=64))
+    truth = stored(vectors.similar_items_all(p, p.select("item_id").distinct(), 5, "character"))
+    both = truth.join(near.select("query_id", "item_id", F.col("similarity").alias("_near")), ["query_id", "item_id"])
+    asked = near.agg(F.count_distinct("query_id").alias("asked"))
+    told = both.agg(F.count("*").alias("_hits"), F.max(F.abs(F.col("similarity") - F.col("_near"))).alias("_off"))
+    return asked.join(told).join(truth.agg(F.count("*").alias("_all"))).select(
+        "asked", (F.col("_off") < 2e-6).alias("exact"), (F.col("_hits") >= 0.9 * F.col("_all")).alias("found")
+    )
+
+
 @R.add("j3_index_vectors", f"""
 WITH {ITEMS} SELECT item_id, date FROM items WHERE status IN ('inferred', 'pending') AND item_id NOT IN (SELECT doc_id FROM labels)""")
 def _(spark, d):
