@@ -13,7 +13,7 @@ from vitrine.operators.scale import shared_folder
 from vitrine.plans.fixtures import ITEMS, Registry, items, table
 from vitrine.plans.q_ranking import RANKED
 from vitrine.plans.q_sources import PLACED, artworks, landed, landed_as
-from vitrine.streaming import changes, ingest
+from vitrine.streaming import changes, ingest, versions
 
 R = Registry()
 
@@ -63,6 +63,31 @@ def _(spark, d):
     return changes.latest_stats(spark, f"{out}/stats").drop("updated_at")
 
 
+@R.add("m1_item_versions_stream", FINAL)
+def _(spark, d):
+    out = folder(spark)
+    pair = change_events(stream_of(spark, d, "events")).select("event_id", "before", "after", F.col("before").isNull().alias("first"))
+    # every version twice, the newer one first
+    twice = F.explode(F.expr("CASE WHEN first THEN array(2L, 1L) ELSE array(0L, 3L) END")).alias("turn")
+    rows = pair.select(F.col("event_id").alias("item_id"), F.when(F.col("first"), 1).otherwise(2).cast("long").alias("version"), "after", twice)
+    versions.version_stats_stream(rows.drop("turn"), f"{out}/sums", f"{out}/checkpoint").awaitTermination()
+    return versions.version_stats(spark, f"{out}/sums").drop("version")
+
+
+@R.add("m2_first_downloads", """
+SELECT DISTINCT event_type AS type, user_id AS post_id FROM events""")
+def _(spark, d):
+    out = folder(spark)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("type"), F.col("user_id").alias("post_id"), F.col("ts").alias("downloaded_at"))
+    # pages land by day of the month in five turns, the first turn once more at the end, read after a restart
+    for turns in ((0, 1, 2), (3, 4, 0)):
+        for turn in turns:
+            rows.where(F.expr(f"least((dayofmonth(downloaded_at) - 1) div 6, 4) = {turn}")).write.mode("append").parquet(f"{out}/landing")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/landing")
+        versions.downloads_stream(spark, stream, f"{out}/items", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema("type string, post_id long").parquet(f"{out}/items").select("type", "post_id")
+
+
 @R.add("m2_ingest_stream", """
 WITH p AS (SELECT event_id, 'danbooru/' || event_id || '.jpg' AS key, sha256(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS sha,
     first_value(event_type) OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS f FROM events),
