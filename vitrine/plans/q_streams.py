@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from vitrine.functions.udfs import byte_histogram
 from vitrine.learning.inference import inference_job
 from vitrine.learning.models import LinearScorer, Member
+from vitrine.operators.filters import filter_items
 from vitrine.operators.scale import shared_folder
 from vitrine.plans.fixtures import ITEMS, Registry, items, table
 from vitrine.plans.q_ranking import RANKED
 from vitrine.plans.q_sources import PLACED, artworks, landed, landed_as
-from vitrine.streaming import changes, ingest, versions
+from vitrine.streaming import changes, ingest, moved_ranks, versions
 
 R = Registry()
 
@@ -188,3 +189,16 @@ def _(spark, d):
     ingest.rank_cache_stream(changed, lambda: items(spark, d), f"{out}/ranks", f"{out}/checkpoint").awaitTermination()
     ranks = spark.read.schema("item_id long, model string, field string, value double, rank long, total long, date string").parquet(f"{out}/ranks")
     return ranks.select("item_id", "date", "model", "field", "rank", "total")
+
+
+@R.add("m4_moved_ranks", f"""
+WITH {ITEMS}, {RANKED} SELECT item_id, date, model, field, rank, total FROM ranked""")
+def _(spark, d):
+    out = folder(spark)
+    right = moved_ranks.first_scores(filter_items(items(spark, d)))
+    # a third comes with a wrong score, which the second batch mends
+    wrong = F.when(F.col("item_id") % 3 == 0, F.col("after") * 3 - 0.1).otherwise(F.col("after"))
+    moved_ranks.move_scores(right.withColumn("after", wrong), out, 0.25)
+    mended = right.where("item_id % 3 = 0").withColumns({"before": wrong, "version": F.lit(1).cast("long")})
+    moved_ranks.move_scores(mended, out, 0.25)
+    return moved_ranks.moved_ranks(spark, out).select("item_id", "date", "model", "field", "rank", "total")
