@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
 
 from vitrine.llm import packing
 
@@ -55,3 +57,9 @@ def test_copies_meet_in_a_shard(spark):
     group = [7, 67, 127, *range(180, 280)]
     size = pieces[pieces.item_id.isin(group)].length.sum()
     assert shards[group].nunique() <= -(-size // 2000) + 1
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "a", "b" + "\n" * 1_200_000, "a" + " \n" * 600_000 + "<|endoftext|>", "xy" * 400_000])
+def test_very_long_runs_are_encoded_as_by_tokenizers(text):
+    want = Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids + [packing.END]
+    assert packing.encode(packing.encoder(BPE), text).tolist() == want

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +48,20 @@ def encoder(path: str) -> tiktoken.Encoding:
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("captions", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+
+
+@functools.lru_cache(maxsize=2)
+def plain_encoder(path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(path)
 
 
 def encode(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
-    ids = enc.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, dtype=np.uint32)
+    """Ids of a whole text and the end id; one that the fast library gives up on, with a long run of white space, goes to the plain one."""
+    try:
+        ids = enc.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, dtype=np.uint32)
+    except ValueError:
+        ids = np.array(plain_encoder(enc.name).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     return np.append(ids, np.uint32(END))
 
 
