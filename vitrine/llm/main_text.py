@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,12 +20,14 @@ LEAST_WORD, LEAST_TAG, MOST_TAG = 0.05, -0.01, -4.0
 # Crossing the edge of an element that marks the content costs as much as this many words.
 EDGE = 25.0
 
-# A comment, raw text up to its end tag, a tag with quoted attributes, or a lone "<".
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
-)
+# Pages that must show a class, id or role name outside their content, and none inside, before it is held for furniture.
+MARK_PAGES = 20
+
+# What opens a comment, a declaration or a tag; a name ends at a quote or "<", so no character is read for two names.
+START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>\"'<]*))")
+INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
+SPECIAL = re.compile(r"[>\"']")
+RAW = {n: re.compile(rf"</{n}\s*+>", re.I) for n in "script style textarea title noscript iframe template svg math".split()}
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,108 +51,187 @@ KNOWN = INLINE | VOID | CONTENT | FURNITURE | OUTSIDE_ONLY | set(
 
 
 class Element:
-    """An open element: whether it marks furniture, and whether content was found inside."""
+    """An open element: whether it marks furniture, the nearest such element around it, and whether content was found inside."""
+
+    __slots__ = ("holds_content", "in_content", "marks", "name", "outer", "suspect")
+
+    def __init__(self, name: str, suspect: bool, outer: Element | None, in_content: bool, marks: set[str]):
+        self.name, self.suspect, self.outer, self.in_content, self.marks = name, suspect, outer, in_content, marks
+        self.holds_content = False
+
+
+class TagEnds:
+    """Where tags end, quotes observed. A page that leaves one open is looked through once, from its end, for all of them."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def after(self, at: int) -> int:
+        """The end of the tag whose attributes begin at `at`; -1 if there is none."""
+        if at > self.last:
+            return -1
+        if self.places is None:
+            if m := INSIDE.match(self.page, at):
+                return m.end()
+            self._look()
+        k = bisect_left(self.places, at)
+        return self.ends[k]
+
+    def _look(self) -> None:
+        found = [(m.start(), m[0]) for m in SPECIAL.finditer(self.page)]
+        self.places, self.ends = [p for p, _ in found], [-1] * (len(found) + 1)
+        partner = {"'": -1, '"': -1}
+        for k in range(len(found) - 1, -1, -1):
+            place, sign = found[k]
+            if sign == ">":
+                self.ends[k] = place + 1
+                continue
+            if partner[sign] >= 0:
+                self.ends[k] = self.ends[partner[sign] + 1]
+            partner[sign] = k
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, whether an end tag, attributes) of the markup of a page, in time linear in its length.
+
+    The name is None for comments and declarations. An element of RAW reaches up to its end tag.
+    What no ">" closes is text.
+    """
+    ends, at = TagEnds(page), 0
+    while m := START.search(page, at):
+        start, name = m.start(), m[2]
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at = len(page) if close < 0 else close + 3
+            yield start, at, None, False, ""
+            continue
+        if m.end() > ends.last:
+            return
+        end = page.index(">", m.end()) + 1 if name is None else ends.after(m.end())
+        if end < 0:
+            at = m.end()
+            continue
+        at = end
+        if name is None:
+            yield start, at, None, False, ""
+            continue
+        name = name.lower()
+        if name in RAW and not m[1]:
+            close = RAW[name].search(page, end)
+            at = close.end() if close else len(page)
+        yield start, at, name, bool(m[1]), page[m.end() : end - 1]
 
-    __slots__ = ("holds_content", "name", "suspect")
 
-    def __init__(self, name: str, suspect: bool):
-        self.name, self.suspect, self.holds_content = name, suspect, False
+def _facts(name: str, attributes: str) -> tuple[set[str], bool]:
+    """The parts of class, id and role names, and whether the element is hidden."""
+    parts, hidden = set(), False
+    for key, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        key, value = key.lower(), next((v for v in values if v), "")
+        if key == "style":
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+        elif key in ("hidden", "aria-hidden"):
+            hidden |= key == "hidden" or value.lower() == "true"
+        else:
+            parts |= {p.lower() for p in NAME_PART.findall(value)}
+    return parts, hidden
 
 
-def _suspect(name: str, attributes: str, in_content: bool) -> bool:
-    if name in FURNITURE or (name in OUTSIDE_ONLY and not in_content):
-        return True
+def _marks(name: str, parts: set[str]) -> set[str]:
+    """What an element may be known by: its class, id and role names, and its own name unless it is a common block."""
     if name in CONTENT or name in ("html", "body"):
-        return False
-    for key, *values in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), next((v for v in values if v), "")
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-            continue
-        parts = {p.lower() for p in NAME_PART.findall(value)}
-        if parts & CUES or (parts & OUTSIDE_ONLY and not in_content):
-            return True
-    return False
+        return set()
+    own = set() if name in BLOCKS or name in INLINE or name in VOID else {"mark " + name}
+    return own | {"mark ." + p for p in parts}
 
 
-def page_events(page: str | None) -> tuple[list[tuple], list[Element]]:
-    """The page as a list of (kind, key, text, furniture, in content, block), one scan.
+def page_events(page: str | None, learned: dict[str, float] | None = None) -> tuple[list[tuple], list[Element]]:
+    """The page as a list of (kind, key, text, furniture, in content, block), and its elements; one scan.
 
-    kind is "tag" or "text"; furniture is the outermost suspect element around, or None. One that
-    turns out to hold an article is no furniture, which also saves pages that leave a menu open.
+    kind is "tag" or "text"; furniture is whether it lies in an element that `learned` weights or,
+    of marks they do not tell about, the lists hold for furniture. One that turns out to hold an
+    article is none, which also saves pages that leave a menu open.
     """
-    events, stack, opened = [], [], {}
+    learned = learned or {}
+    events, stack, opened, elements = [], [], {}, []
     block = content = links = 0
     at, page = 0, page or ""
+    around: Element | None = None
 
     def text(piece: str) -> None:
         if piece:
-            around = tuple(e for e in stack if e.suspect)
             events.append(("text", "link" if links else "plain", piece, around, content > 0, block))
 
-    def close(index: int) -> None:
-        nonlocal content, links
-        for e in reversed(stack[index:]):
-            opened[e.name] -= 1
-            content -= e.name in CONTENT
-            links -= e.name == "a"
-        del stack[index:]
-
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    for start, end, name, closes, attributes in tags(page):
+        text(page[at:start])
+        at = end
+        if name is None or (name in RAW and not closes):
             # comments join what is around them, raw elements do not
-            block += m[1] is not None and m[1].lower() in ("textarea", "iframe")
+            block += name in ("textarea", "iframe")
             continue
-        name, ends = m[3].lower(), bool(m[2])
         if name not in INLINE:
             block += 1
         key = name if name in KNOWN else "other"
-        if ends:
-            index = None
-            if opened.get(name):
-                index = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name)
-            around = tuple(e for e in stack if e.suspect)  # still with the element that ends
-            events.append(("tag", "/" + key, "", around, content > 0, block))
-            if index is not None:
-                close(index)
+        if closes:
+            events.append(("tag", "/" + key, "", around, content > 0, block))  # still with the element that ends
+            while opened.get(name):
+                e = stack.pop()
+                opened[e.name] -= 1
+                content -= e.name in CONTENT
+                links -= e.name == "a"
+                if e.suspect:
+                    around = e.outer
+                if e.name == name:
+                    break
             continue
-        suspect = _suspect(name, m[4], content > 0)
+        parts, hidden = _facts(name, attributes)
+        marks = _marks(name, parts)
+        outside = OUTSIDE_ONLY if not content else set()
+        suspect = name in FURNITURE or name in outside or any(m in learned for m in marks)
+        if not suspect and name not in CONTENT and name not in ("html", "body"):
+            suspect = hidden or bool(parts & CUES) or bool(parts & outside)
         if name in CONTENT:
-            for e in stack:
+            for e in reversed(stack):
+                if e.holds_content:
+                    break
                 e.holds_content = True
-        if name not in VOID and not m[4].rstrip().endswith("/"):
-            stack.append(Element(name, suspect))
+        e = Element(name, suspect, around, content > 0, marks)
+        within = e if suspect else around
+        events.append(("tag", key, "", around, content > 0, block))
+        if name not in VOID and not attributes.rstrip().endswith("/"):
+            elements.append(e)
+            stack.append(e)
             opened[name] = opened.get(name, 0) + 1
             content += name in CONTENT
             links += name == "a"
-        events.append(("tag", key, "", tuple(e for e in stack if e.suspect), content > 0, block))
+            around = within
+            events[-1] = ("tag", key, "", around, content > 0, block)
     text(page[at:])
-    return events, stack
-
-
-def in_furniture(around: tuple) -> bool:
-    return any(not e.holds_content for e in around)
+    hidden_by: dict[int, bool] = {}
+    for e in elements:
+        if e.suspect:
+            hidden_by[id(e)] = not e.holds_content or (e.outer is not None and hidden_by[id(e.outer)])
+    return [(k, key, t, f is not None and hidden_by[id(f)], c, b) for k, key, t, f, c, b in events], elements
 
 
 def token_counts(page: str | None) -> dict[str, list[int]]:
     """Per token, how many lie inside and outside the content a page marks; none where it marks none.
 
-    Furniture is known by its marks and scores nothing, so what lies in it says nothing about a token.
+    Listed furniture says nothing about the words and tags in it. Marks count once a page and side;
+    those of an element around the content count as inside.
     """
-    events, _ = page_events(page)
+    events, elements = page_events(page)
     if not any(e[4] for e in events):
         return {}
     counts: dict[str, list[int]] = {}
-    for kind, key, piece, around, inside, _ in events:
-        if (kind == "tag" and key.lstrip("/") in CONTENT) or in_furniture(around):
+    for kind, key, piece, furniture, inside, _ in events:
+        if (kind == "tag" and key.lstrip("/") in CONTENT) or furniture:
             continue
         found = counts.setdefault("word " + key if kind == "text" else key, [0, 0])
         found[0 if inside else 1] += len(piece.split()) if kind == "text" else 1
+    for mark, side in {(m, 0 if e.in_content or e.holds_content else 1) for e in elements for m in e.marks}:
+        counts.setdefault(mark, [0, 0])[side] += 1
     return counts
 
 
@@ -157,8 +239,11 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Log of how much likelier a token is inside the content, kept positive for words, negative for tags.
 
     A block tag that no content holds has shown nothing about content that does hold it, so it
-    costs next to nothing. An edge of the content costs EDGE words whatever a word scores.
+    costs next to nothing. An edge of the content costs EDGE words whatever a word scores. Marks
+    that MARK_PAGES pages show outside their content and none inside stand for furniture.
     """
+    marks = {m: MOST_TAG for m, (a, b) in counts.items() if m.startswith("mark ") and not a and b >= MARK_PAGES}
+    counts = {k: c for k, c in counts.items() if not k.startswith("mark ")}
     inside = sum(c[0] for c in counts.values()) + len(counts) + 1
     outside = sum(c[1] for c in counts.values()) + len(counts) + 1
     weights = {"word plain": 1.0, "word link": LEAST_WORD} | {f"{side}{n}": LEAST_TAG for n in BLOCKS for side in ("", "/")}
@@ -168,7 +253,7 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
         odds = math.log((a + 1) / inside) - math.log((b + 1) / outside)
         weights[key] = max(odds, LEAST_WORD) if key.startswith("word ") else max(min(odds, LEAST_TAG), MOST_TAG)
     edge = -EDGE * max(1.0, weights["word plain"])
-    return weights | {f"{side}{n}": edge for n in CONTENT for side in ("", "/")}
+    return weights | marks | {f"{side}{n}": edge for n in CONTENT for side in ("", "/")}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -184,12 +269,12 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    events, _ = page_events(page)
+    events, _ = page_events(page, weights)
     scores, words = [], []
-    for kind, key, piece, around, *_ in events:
+    for kind, key, piece, furniture, *_ in events:
         # character references may stand for white space, so they come first
-        words.append(entities.unescape(piece) if kind == "text" and not in_furniture(around) else "")
-        if kind == "tag" and in_furniture(around):
+        words.append(entities.unescape(piece) if kind == "text" and not furniture else "")
+        if kind == "tag" and furniture:
             # its words are left out already: what lies behind it is not to be lost with it
             scores.append(LEAST_TAG)
         elif kind == "tag":
@@ -210,7 +295,8 @@ def fit_weights(pages: DataFrame, most: int = FIT_PAGES) -> dict[str, float]:
     """Token weights from pages that mark their content with an article or main element.
 
     Fitted on a sample of about `most` pages, those with the smallest share of a hash of page_id;
-    the tokens are the known tags and two kinds of words, so their counts are few.
+    the tokens are the known tags, two kinds of words and those marks (element, class, id and role
+    names) that at least MARK_PAGES of these pages have outside their content and none inside.
     """
     n = pages.count()
     share = F.pmod(F.xxhash64("page_id"), F.lit(max(1, n // most))) == 0
@@ -230,16 +316,19 @@ def fit_weights(pages: DataFrame, most: int = FIT_PAGES) -> dict[str, float]:
     schema = pa.schema([("token", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())])
     parts = read.mapInArrow(run, "token string, inside long, outside long")
     sums = parts.groupBy("token").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
+    sums = sums.where(~F.col("token").startswith("mark ") | ((F.col("a") == 0) & (F.col("b") >= MARK_PAGES)))
     return weights_of({r["token"]: (r["a"], r["b"]) for r in sums.collect()})
 
 
 def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     """All input columns plus `text`, the article of each page, and n_chars, its code points.
 
-    `html` is read whole, in one scan that keeps words and tags in order. Words score positive,
-    tags negative (`fit_weights`), and what lies in menus, page headers and footers, sidebars,
-    notices, adverts, forms or reader comments, told by element, role, class and id, scores
-    nothing. The contiguous run with the best sum is the content; every block it touches is given
+    `html` is read whole, in one scan that keeps words and tags in order and takes time in
+    proportion to the page, unclosed tags and quotes included (what no ">" closes is text). Words
+    score positive, tags negative (`fit_weights`), and what lies in menus, page headers and
+    footers, sidebars, notices, adverts, forms or reader comments scores nothing: these are told
+    by element, role, class and id names that labelled pages only have outside their content, and
+    by lists of such names. The contiguous run with the best sum is the content; every block it touches is given
     whole, with character references decoded and white space as one space, joined by line feeds.
 
     A null or empty page, or one without words outside such parts, has an empty text. Repeated
