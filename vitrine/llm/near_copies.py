@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,9 @@ BITS = 64
 # Words hashed at a time, and ball members expanded at a time, inside one task.
 PIECE = 1 << 16
 BALL_ROWS = 1 << 21
+# Fingerprints of one prefix that stay in one task, and bits by which more of them are dealt on.
+PREFIX_ROWS = 1 << 16
+STEP = 8
 OWN = ("fingerprint", "component_id", "representative", "_fp", "_row")
 
 
@@ -115,7 +119,35 @@ def ball_labels(marks: np.ndarray, spare: np.ndarray, first: int, distance: int,
     return labels
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = 4, ball_rows: int = BALL_ROWS) -> DataFrame:
+def dealt(distinct: DataFrame, half: int, prefix: int, most: int = PREFIX_ROWS) -> list[tuple[int, DataFrame]]:
+    """(p, rows of _fp, _prefix): every word within `half` bits of a fingerprint has its first p bits in one of these tables.
+
+    All fingerprints are dealt by their words' first `prefix` bits. A prefix with more than `most`
+    of them is dealt again by STEP further bits, in which only the differences still to spare may
+    lie, and so on down to whole words, each of which is near to 2081 fingerprints at most (for
+    half = 2). Prefixes are counted before the shuffle, so no group is ever gathered to be split.
+    """
+    masks = [int(m) >> (BITS - prefix) for m in flips(0, half) if int(m) & ((1 << (BITS - prefix)) - 1) == 0]
+    start = F.shiftrightunsigned("_fp", BITS - prefix)
+    rows = distinct.select("_fp", F.explode(F.array(*[start.bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("_prefix"))
+    levels = []
+    while prefix < BITS:
+        large = stored(rows.groupBy("_prefix").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_prefix", F.lit(True).alias("_large")))
+        if large.isEmpty():
+            break
+        told = stored(skew_join(rows, large, ["_prefix"], "left", ["_fp"]))
+        levels.append((prefix, told.where("_large IS NULL").drop("_large")))
+        step = min(STEP, BITS - prefix)
+        spare = half - F.bit_count(F.shiftrightunsigned("_fp", BITS - prefix).bitwiseXOR(F.col("_prefix")))
+        flipped = F.filter(F.array(*[F.lit(m).cast("long") for m in range(1 << step) if m.bit_count() <= half]), lambda m: F.bit_count(m) <= spare)
+        prefix += step
+        further = F.shiftrightunsigned("_fp", BITS - prefix).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+        longer = F.shiftleft("_prefix", step).bitwiseOR(further.bitwiseXOR(F.col("_flip"))).alias("_prefix")
+        rows = told.where("_large").select("_fp", "_prefix", F.explode(flipped).alias("_flip")).select("_fp", longer)
+    return [*levels, (prefix, rows)]
+
+
+def fingerprint_links(distinct: DataFrame, distance: int = 4, ball_rows: int = BALL_ROWS, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """a, b (a > b as unsigned order of no meaning): links that connect all fingerprints within `distance` bits.
 
     Two fingerprints are that near exactly if some 64-bit word lies within half the distance of
@@ -123,7 +155,8 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, ball_rows: int = B
     their first p bits: a fingerprint is sent once to each prefix its words have (1 + p +
     p (p - 1) / 2 rows of eight bytes, not 2081), and the task of a prefix forms the words that
     begin with it. p grows with the number of fingerprints, so that a task forms about
-    `ball_rows` words; denser ones are done piece by piece.
+    `ball_rows` words; denser ones are done piece by piece. A prefix of more than `prefix_rows`
+    fingerprints, as around a text with very many slight variants, is dealt on by further bits.
 
     The words a prefix shares give links inside it; of these only one per fingerprint leaves the
     task, to the first fingerprint it is connected to. So a group of n fingerprints never makes
@@ -133,19 +166,20 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, ball_rows: int = B
         raise ValueError("distance must be even, from 2")
     half = distance // 2
     words = sum(math.comb(BITS, k) for k in range(half + 1))
-    prefix = min(24, max(1, math.ceil(math.log2(max(2, distinct.count() * words / ball_rows)))))
-    masks = [int(m) >> (BITS - prefix) for m in flips(0, half) if int(m) & ((1 << (BITS - prefix)) - 1) == 0]
-    start = F.shiftrightunsigned("_fp", BITS - prefix)
-    dealt = distinct.select("_fp", F.explode(F.array(*[start.bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("_prefix"))
+    first = min(24, max(1, math.ceil(math.log2(max(2, distinct.count() * words / ball_rows)))))
+
+    def links(prefix: int, rows: DataFrame) -> DataFrame:
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            marks = np.sort(rows["_fp"].to_numpy().view(np.uint64))
+            shared = np.int64(key[0]).view(np.uint64)
+            spare = half - np.bitwise_count((marks >> np.uint64(BITS - prefix)) ^ shared).astype(int)
+            labels = ball_labels(marks, spare, prefix, distance, ball_rows)
+            linked = np.nonzero(labels != np.arange(len(marks)))[0]
+            return pd.DataFrame({"a": marks[linked].view(np.int64), "b": marks[labels[linked]].view(np.int64)})
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        marks = np.sort(rows["_fp"].to_numpy().view(np.uint64))
-        spare = half - np.bitwise_count((marks >> np.uint64(BITS - prefix)) ^ np.uint64(key[0])).astype(int)
-        labels = ball_labels(marks, spare, prefix, distance, ball_rows)
-        linked = np.nonzero(labels != np.arange(len(marks)))[0]
-        return pd.DataFrame({"a": marks[linked].view(np.int64), "b": marks[labels[linked]].view(np.int64)})
+        return rows.groupBy("_prefix").applyInPandas(run, "a long, b long")
 
-    return dealt.groupBy("_prefix").applyInPandas(run, "a long, b long")
+    return reduce(DataFrame.union, [links(p, rows) for p, rows in dealt(distinct, half, first, prefix_rows)])
 
 
 def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
